@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,6 +68,8 @@ def settle(df: DataFrame) -> DataFrame:
     path = scratch(spark)
     schema = df.schema
     df.write.parquet(path)
+    gc.collect()  # shuffle files go when the driver's references to them do
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 

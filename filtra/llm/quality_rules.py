@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from filtra.llm.common import read, settle
 
 _WHITE = " \t\n\x0b\x0c\r"
-_SYMBOLS = "#*$%&|<>"
+_SYMBOLS = "[#*$%&|<>]"
 
 #: Metrics in thousandths (word length in hundredths of a character), and which side is out.
 METRICS = {"symbols": "high", "dup_lines": "high", "repeats": "high", "word_chars": "both"}
 #: A fence lies this many spreads beyond the quartile; a spread counts as its floor at least.
 FENCE = 4.0
-SPREAD_FLOOR = {"symbols": 10, "dup_lines": 60, "repeats": 60, "word_chars": 60}
+SPREAD_FLOOR = {"symbols": 10, "dup_lines": 150, "repeats": 100, "word_chars": 60}
 #: A sketch of fewer documents than this gives way to its language's, and that to the whole table's.
 LEAST_DOCS = 200
 
@@ -48,22 +48,18 @@ def document_stats(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.btrim(text, F.lit(_WHITE))
-    words = F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(
-        F.split(F.translate(bare, _WHITE[1:], " " * 5), " +")
-    )
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(_WHITE))) > 0)
-    chars = F.length(F.translate(text, _WHITE, ""))
+    words = F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+"))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     out = docs.select(
         *[F.col(f"`{c}`") for c in keep],
         words.alias("_words"),
         lines.alias("_lines"),
-        chars.cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit(_SYMBOLS)).cast("long").alias("n_symbols"),
     )
     out = out.select(
         *[F.col(f"`{c}`") for c in keep],
         F.size("_words").cast("long").alias("n_words"),
-        "word_chars",
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
@@ -181,7 +177,7 @@ SQL = """
 WITH d AS (
   SELECT doc_id, lang, source, COALESCE(text, '') AS t,
          regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
-         list_filter(string_split(COALESCE(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+         [x for x in string_split(COALESCE(text, ''), chr(10)) if regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS l
   FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM p),
@@ -216,7 +212,7 @@ f AS (
   SELECT g.lang, g.source, g.metric,
          CASE WHEN a.docs >= 200 THEN a.q1 WHEN b.docs >= 200 THEN b.q1 ELSE e.q1 END AS q1,
          CASE WHEN a.docs >= 200 THEN a.q3 WHEN b.docs >= 200 THEN b.q3 ELSE e.q3 END AS q3,
-         CASE g.metric WHEN 'symbols' THEN 10 ELSE 60 END AS least
+         CASE g.metric WHEN 'symbols' THEN 10 WHEN 'dup_lines' THEN 150 WHEN 'repeats' THEN 100 ELSE 60 END AS least
   FROM (SELECT DISTINCT lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_chars']) AS metric FROM m) g
   LEFT JOIN q a ON a.level = 0 AND a.metric = g.metric AND a.lang IS NOT DISTINCT FROM g.lang AND a.source IS NOT DISTINCT FROM g.source
   LEFT JOIN q b ON b.level = 1 AND b.metric = g.metric AND b.lang IS NOT DISTINCT FROM g.lang

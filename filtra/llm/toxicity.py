@@ -16,8 +16,10 @@ from filtra.llm.common import held_out, read, words_alnum
 
 #: Labelled rows that the weights and the calibration are fitted on, at most (in expectation).
 SAMPLE_ROWS = 20_000
-#: Pseudo-words of the Dirichlet prior, least toxic sample documents of a word, least z of its log-odds.
-PRIOR_WORDS, LEAST_DOCS, LEAST_Z = 500.0, 3, 3.0
+#: The Dirichlet prior's size as a share of the sample's words, least toxic sample documents of a word, least z.
+PRIOR_SHARE, LEAST_DOCS, LEAST_Z = 0.05, 3, 3.5
+#: A word counts whole and by its beginnings of so many bytes, for inflected languages.
+STEMS = range(4, 10)
 #: What a word without a weight takes from a segment, and the limits of a weight.
 DRIFT, MOST_WEIGHT = 0.5, 8.0
 #: Expected number of chance segments below which a passage is significant.
@@ -55,7 +57,8 @@ def segments(scores: list[tuple[int, float]], drift: float = DRIFT) -> list[tupl
 class ToxicityModel:
     """Word weights, Karlin-Altschul constants, and the logistic curve over the calibrated features."""
 
-    weight: dict[bytes, float] = field(default_factory=dict)
+    weight: dict[bytes, float] = field(default_factory=dict)  # of words, and of stems with a * behind
+    heads: frozenset[bytes] = frozenset()  # first bytes of the stems
     lam: float = 1.0
     k: float = 0.1
     curve: tuple[float, float, float] = (-3.0, 1.0, 1.0)
@@ -64,12 +67,20 @@ class ToxicityModel:
         """-ln of the number of segments at least as good that chance would give."""
         return self.lam * score - math.log(max(self.k * n_words, 1e-9))
 
+    def hits(self, words: list[bytes]) -> list[tuple[int, float]]:
+        """(place, weight) of the words that have one: by the whole word, else by its longest stem."""
+        get, heads, short = self.weight.get, self.heads, STEMS[0]
+        out = []
+        for i, w in enumerate(words):
+            s = get(w)
+            if s is None and w[:short] in heads:
+                s = next((x for k in reversed(STEMS) if len(w) > k and (x := get(w[:k] + b"*")) is not None), None)
+            if s is not None:
+                out.append((i, s))
+        return out
+
     def passages(self, words: list[bytes]) -> list[tuple[float, int, int]]:
-        get = self.weight.get
-        hits = [(i, s) for i, w in enumerate(words) if (s := get(w)) is not None]
-        if not hits:
-            return []
-        return [x for x in segments(hits) if self.excess(x[0], len(words)) >= -math.log(LEAST_E)]
+        return [x for x in segments(self.hits(words)) if self.excess(x[0], len(words)) >= -math.log(LEAST_E)]
 
     def features(self, words: list[bytes]) -> tuple[float, float, list[tuple[float, int, int]]]:
         found = self.passages(words)
@@ -82,10 +93,11 @@ class ToxicityModel:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, x)))), found
 
 
-def log_odds(toxic: float, clean: float, n_toxic: float, n_clean: float, prior: float) -> tuple[float, float]:
-    """Log-odds ratio with an informative Dirichlet prior of `prior` pseudo-counts, and its z."""
-    t, c = toxic + prior, clean + prior
-    d = math.log(t / max(n_toxic + PRIOR_WORDS - t, 1e-9)) - math.log(c / max(n_clean + PRIOR_WORDS - c, 1e-9))
+def log_odds(toxic: float, clean: float, n_toxic: float, n_clean: float, share: float) -> tuple[float, float]:
+    """Log-odds ratio of a word of this share of the corpus, with an informative Dirichlet prior, and its z."""
+    size = PRIOR_SHARE * (n_toxic + n_clean)
+    t, c = toxic + max(size * share, 1e-3), clean + max(size * share, 1e-3)
+    d = math.log(t / max(n_toxic + size - t, 1e-9)) - math.log(c / max(n_clean + size - c, 1e-9))
     return d, d / math.sqrt(1 / t + 1 / c)
 
 
@@ -130,9 +142,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     return picked.select("text", "label", F.pmod(F.xxhash64("_id", F.lit("part")), F.lit(2)).cast("int").alias("part"))
 
 
+def pieces(words: list[bytes], vocabulary: set[bytes] | None, heads: frozenset[bytes] | None) -> Counter:
+    """How often each word and each stem of a word stands in a text; only those of the vocabulary if there is one."""
+    out: Counter[bytes] = Counter()
+    if heads is not None:
+        words = [w for w in words if w[: STEMS[0]] in heads]
+    for w, c in Counter(words).items():
+        for piece in (w, *(w[:k] + b"*" for k in STEMS if k < len(w))):
+            if vocabulary is None or piece in vocabulary:
+                out[piece] += c
+    return out
+
+
 def _counts(texts: DataFrame, vocabulary: set[bytes] | None, by_label: bool) -> DataFrame:
     """(word, kind, n, docs): words by label (or kind 0), a row a batch and word before the sum; word null: all."""
 
+    heads = None if vocabulary is None else frozenset(w[: STEMS[0]] for w in vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, docs = Counter(), Counter()
@@ -140,18 +166,16 @@ def _counts(texts: DataFrame, vocabulary: set[bytes] | None, by_label: bool) ->
             for text, kind in zip(batch.column(0).cast(pa.large_binary()), kinds):
                 words = words_alnum(text.as_py())
                 n[None, kind] += len(words)
-                if vocabulary is not None:
-                    words = [w for w in words if w in vocabulary]
-                for w, c in Counter(words).items():
+                for w, c in pieces(words, vocabulary, heads).items():
                     n[w, kind] += c
                     docs[w, kind] += 1
-            word = [w.decode("utf-8", "replace") if w is not None else None for w, _ in n]
+            word = [w for w, _ in n]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(word, pa.string()), pa.array([k for _, k in n], pa.int32()), pa.array(n.values(), pa.int64()), pa.array([docs[x] for x in n], pa.int64())],
+                [pa.array(word, pa.binary()), pa.array([k for _, k in n], pa.int32()), pa.array(n.values(), pa.int64()), pa.array([docs[x] for x in n], pa.int64())],
                 names=["word", "kind", "n", "docs"],
             )
 
-    rows = texts.mapInArrow(run, "word string, kind int, n long, docs long")
+    rows = texts.mapInArrow(run, "word binary, kind int, n long, docs long")
     return rows.groupBy("word", "kind").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -171,27 +195,29 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, rows: int = SAMPLE_RO
     found = [tuple(r) for r in table.where(f"word IS NULL OR docs1 >= {LEAST_DOCS} AND docs1 > docs0").select("word", "n0", "n1").collect()]
     n_clean, n_toxic = next(((c, t) for w, c, t in found if w is None), (0, 0))
     model = ToxicityModel()
-    found = [(w.encode(), c, t) for w, c, t in found if w is not None]
-    found = [x for x in found if log_odds(x[2], x[1], n_toxic, n_clean, PRIOR_WORDS / max(1, n_clean + n_toxic))[1] >= LEAST_Z / 2]
-    seen = {r["word"]: r["n"] for r in _counts(docs.select("text"), {w for w, _, _ in found}, False).collect()}
+    found = [(bytes(w), c, t) for w, c, t in found if w is not None]
+    found = [x for x in found if x[2] * n_clean > 2 * x[1] * n_toxic]
+    seen = {r["word"] and bytes(r["word"]): r["n"] for r in _counts(docs.select("text"), {w for w, _, _ in found}, False).collect()}
     total = max(1, seen.pop(None, 1))
-    weights, shares = [], []
-    for w, c, t in sorted(found):
-        share = seen.get(w.decode("utf-8", "replace"), 0) / total
-        d, z = log_odds(t, c, n_toxic, n_clean, max(PRIOR_WORDS * share, 1e-3))
-        if z >= LEAST_Z and d > DRIFT:
+    counts = {w: (c, t) for w, c, t in found}
+    same = {s for w, x in counts.items() for k in STEMS if counts.get(s := w[:k] + b"*") == x and s != w}
+    found = [x for x in found if x[0] not in same]  # of pieces that stand for the same words the longest counts
+    for w, c, t in sorted(found, key=lambda x: (len(x[0]), x[0])):  # stems before what begins with them
+        d, z = log_odds(t, c, n_toxic, n_clean, seen.get(w, 0) / total)
+        stems = [model.weight.get(w[:k] + b"*", -math.inf) for k in STEMS if k < len(w.rstrip(b"*"))]
+        if z >= LEAST_Z and d > max(DRIFT, *(x + 0.5 for x in stems), DRIFT):
             model.weight[w] = min(d, MOST_WEIGHT)
-            weights.append(model.weight[w])
-            shares.append(share)
-    model.lam = karlin_lambda(np.array(weights), np.array(shares))
+    model.heads = frozenset(w[: STEMS[0]] for w in model.weight if w.endswith(b"*"))
+    # a word counts in the background for each of its pieces: lambda errs to the small side
+    share = {w: seen.get(w, 0) / total for w in model.weight}
+    model.lam = karlin_lambda(np.array(list(model.weight.values())), np.array(list(share.values())))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column(0).cast(pa.large_binary()):
                 words = words_alnum(text.as_py())
-                hits = [(i, model.weight[w]) for i, w in enumerate(words) if w in model.weight]
-                rows.append((len(words), sorted((s[0] for s in segments(hits)), reverse=True)))
+                rows.append((len(words), sorted((s[0] for s in segments(model.hits(words))), reverse=True)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64())), batch.column(1)], names=["n", "s", "label"]
             )
