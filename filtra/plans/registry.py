@@ -1,19 +1,779 @@
-"""Registered queries of the engine, with equivalent SQL where SQL can express them."""
+"""Registered queries of the engine, with equivalent SQL where SQL can express them.
+
+Floating results are rounded to six places on both sides; infinite deaths leave as null.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from filtra.operators import anomaly, complexes, diagram, distance, graph, kernels, mapper, persistence, spectral, vectorize
+from filtra.plans import inputs as I
+from filtra.plans.tables import load, shared_folder
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        _QUERIES[name] = fn
+        if sql is not None:
+            _SQL[name] = sql
+        return fn
+
+    return add
+
+
+def r6(c: Column | str) -> Column:
+    """Six places, and no negative zero."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c, 6) + F.lit(0.0)
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: r6(n) for n in names})
+
+
+def no_infinity(df: DataFrame, name: str = "death") -> DataFrame:
+    return df.withColumn(name, F.when(F.col(name) < math.inf, r6(name)))
+
+
+# sources and sinks
+
+
+@query("io_json_roundtrip", f"WITH {I.SUPPLIERS} SELECT dim, count(*) AS n, round(sum(birth), 4) AS births, round(sum(death), 4) AS deaths FROM d GROUP BY ALL")
+def io_json(spark, sf):
+    from filtra.sources import formats
+
+    import uuid
+
+    path = f"{shared_folder(spark)}/io-json-{uuid.uuid4().hex}"
+    formats.save_json(I.supplier_diagram(spark, sf), path)
+    return formats.load_json_lines(spark, path).groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("birth"), 4).alias("births"), F.round(F.sum("death"), 4).alias("deaths"))
+
+
+@query("io_csv_roundtrip", f"WITH {I.SUPPLIERS} SELECT dim, count(*) AS n, round(sum(birth), 4) AS births, round(sum(death), 4) AS deaths FROM d GROUP BY ALL")
+def io_csv(spark, sf):
+    import uuid
+
+    from filtra.sources import formats
+
+    path = f"{shared_folder(spark)}/io-csv-{uuid.uuid4().hex}"
+    formats.save_csv(I.supplier_diagram(spark, sf), path)
+    return formats.load_csv(spark, path).groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("birth"), 4).alias("births"), F.round(F.sum("death"), 4).alias("deaths"))
+
+
+@query("io_off_text", f"WITH {I.PART_PLANE} SELECT cloud_id, 'OFF' AS head, count(*) || ' 0 0' AS counts, count(*) + 2 AS n_lines FROM plane GROUP BY cloud_id")
+def io_off(spark, sf):
+    from filtra.sources import formats
+
+    v = formats.off_text(I.part_plane(spark, sf)).withColumn("v", F.split("value", "\n"))
+    return v.select("cloud_id", F.get("v", F.lit(0)).alias("head"), F.get("v", F.lit(1)).alias("counts"), F.size("v").cast("long").alias("n_lines"))
+
+
+@query("io_sample_clouds", "SELECT cloud_id, CAST(n AS BIGINT) AS n, true AS on_surface FROM (VALUES ('circle', 500), ('sphere', 500), ('torus', 500)) t(cloud_id, n)")
+def io_samples(spark, sf):
+    from filtra.sources import formats
+
+    x = lambda i: F.get("coords", F.lit(i))
+    tests = {
+        "circle": (formats.circle(spark, 500), x(0) ** 2 + x(1) ** 2 - 1),
+        "sphere": (formats.sphere(spark, 500), x(0) ** 2 + x(1) ** 2 + x(2) ** 2 - 1),
+        "torus": (formats.torus(spark, 500), (F.sqrt(x(0) ** 2 + x(1) ** 2) - 2) ** 2 + x(2) ** 2 - 1),
+    }
+    out = [d.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.abs(e) < 1e-9).alias("on_surface")) for d, e in tests.values()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+# filters and projections
+
+_SHIP = f"WITH {I.SHIPPING} "
+
+
+@query("diagram_finite_counts", _SHIP + "SELECT diagram_id, dim, count(*) AS n, CAST(sum(p) AS DOUBLE) AS total FROM f GROUP BY ALL")
+def finite_counts(spark, sf):
+    d = diagram.finite_pairs(I.shipping_diagram(spark, sf))
+    return d.groupBy("diagram_id", "dim").agg(F.count(F.lit(1)).alias("n"), F.sum(diagram.persistence()).alias("total"))
+
+
+@query("diagram_threshold", _SHIP + "SELECT diagram_id, count(*) AS n FROM f WHERE p BETWEEN 30 AND 90 GROUP BY ALL")
+def thresholded(spark, sf):
+    return diagram.threshold(diagram.finite_pairs(I.shipping_diagram(spark, sf)), 30, 90).groupBy("diagram_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("diagram_replace_infinite", _SHIP + """, m AS (SELECT diagram_id, greatest(max(death) FILTER (death < 'infinity'::DOUBLE) * 2, max(birth) FILTER (death = 'infinity'::DOUBLE)) AS late FROM d GROUP BY diagram_id)
+SELECT d.diagram_id, count(*) AS n, sum(CASE WHEN death < 'infinity'::DOUBLE THEN death ELSE late END) AS deaths FROM d JOIN m USING (diagram_id) GROUP BY ALL""")
+def replaced(spark, sf):
+    return diagram.replace_infinite(I.shipping_diagram(spark, sf)).groupBy("diagram_id").agg(F.count(F.lit(1)).alias("n"), F.sum("death").alias("deaths"))
+
+
+@query("diagram_normalise_minmax", f"""WITH {I.SUPPLIERS}, m AS (SELECT diagram_id, min(birth) b0, max(birth) b1, min(death) d0, max(death) d1 FROM d GROUP BY ALL)
+SELECT diagram_id, dim, round((birth - b0) / greatest(b1 - b0, 1e-12), 6) + 0.0 AS birth, round((death - d0) / greatest(d1 - d0, 1e-12), 6) + 0.0 AS death FROM d JOIN m USING (diagram_id)""")
+def normalised(spark, sf):
+    return rounded(diagram.normalise(I.supplier_diagram(spark, sf)), "birth", "death").select("diagram_id", "dim", "birth", "death")
+
+
+@query("diagram_normalise_standard", f"""WITH {I.SUPPLIERS}, m AS (SELECT diagram_id, avg(birth) b0, stddev_pop(birth) b1, avg(death) d0, stddev_pop(death) d1 FROM d GROUP BY ALL)
+SELECT diagram_id, dim, round((birth - b0) / greatest(b1, 1e-12), 6) + 0.0 AS birth, round((death - d0) / greatest(d1, 1e-12), 6) + 0.0 AS death FROM d JOIN m USING (diagram_id)""")
+def standardised(spark, sf):
+    return rounded(diagram.normalise(I.supplier_diagram(spark, sf), "standard"), "birth", "death").select("diagram_id", "dim", "birth", "death")
+
+
+@query("diagram_outliers_iqr", _SHIP + """, q AS (SELECT diagram_id, quantile_cont(p, 0.25) a, quantile_cont(p, 0.75) b FROM f GROUP BY ALL)
+SELECT d.diagram_id, count(*) AS n FROM d JOIN q USING (diagram_id) WHERE death = 'infinity'::DOUBLE OR death - birth BETWEEN a - 0.4 * (b - a) AND b + 0.4 * (b - a) GROUP BY ALL""")
+def outliers_iqr(spark, sf):
+    return diagram.remove_outliers(I.shipping_diagram(spark, sf), "iqr", 0.4).groupBy("diagram_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("diagram_outliers_zscore", _SHIP + """, q AS (SELECT diagram_id, avg(p) m, stddev_pop(p) s FROM f GROUP BY ALL)
+SELECT d.diagram_id, count(*) AS n FROM d JOIN q USING (diagram_id) WHERE death = 'infinity'::DOUBLE OR death - birth BETWEEN m - 1.5 * s AND m + 1.5 * s GROUP BY ALL""")
+def outliers_z(spark, sf):
+    return diagram.remove_outliers(I.shipping_diagram(spark, sf), "zscore", 1.5).groupBy("diagram_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("diagram_most_persistent", f"WITH {I.SUPPLIERS} SELECT diagram_id, dim, round(birth, 6) AS birth, round(death, 6) AS death FROM (SELECT *, row_number() OVER (PARTITION BY diagram_id ORDER BY death - birth DESC, dim, birth, death) AS r FROM d) WHERE r <= 10")
+def top_pairs(spark, sf):
+    return rounded(diagram.most_persistent(I.supplier_diagram(spark, sf), 10), "birth", "death")
+
+
+# aggregations
+
+
+@query("diagram_statistics", _SHIP + """SELECT diagram_id, dim, count(*) AS n_features, count(*) FILTER (death = 'infinity'::DOUBLE) AS n_infinite,
+  coalesce(sum(q), 0) AS total_persistence, round(avg(q), 6) AS mean_persistence, max(q) AS max_persistence, round(var_pop(q), 4) AS variance,
+  round(ln(sum(q)) - sum(CASE WHEN q > 0 THEN q * ln(q) END) / sum(q), 6) AS entropy FROM (SELECT *, CASE WHEN death < 'infinity'::DOUBLE THEN death - birth END AS q FROM d) GROUP BY diagram_id, dim""")
+def statistics(spark, sf):
+    s = diagram.statistics(I.shipping_diagram(spark, sf)).drop("mean_birth", "mean_death")
+    return rounded(s, "mean_persistence", "entropy").withColumn("variance", F.round("variance", 4))
+
+
+@query("diagram_total_persistence", f"WITH {I.SUPPLIERS} SELECT diagram_id, round(sum(pow(p, 2)), 6) AS total_persistence FROM f GROUP BY ALL")
+def total(spark, sf):
+    return rounded(diagram.total_persistence(I.supplier_diagram(spark, sf), 2.0), "total_persistence")
+
+
+@query("diagram_entropy", f"WITH {I.SUPPLIERS}, t AS (SELECT diagram_id, sum(p) AS t FROM f GROUP BY ALL) SELECT diagram_id, round(-sum(p / t * ln(p / t)) / ln(2), 6) AS entropy FROM f JOIN t USING (diagram_id) GROUP BY ALL")
+def entropy(spark, sf):
+    return rounded(diagram.entropy(I.supplier_diagram(spark, sf), 2.0), "entropy")
+
+
+@query("diagram_n_features", _SHIP + "SELECT diagram_id, dim, count(*) FILTER (death - birth >= 60) AS n_features FROM d GROUP BY ALL")
+def features(spark, sf):
+    return diagram.n_features(I.shipping_diagram(spark, sf), 60)
+
+
+@query("diagram_alive_at", _SHIP + "SELECT diagram_id, dim, count(*) FILTER (birth <= 1000 AND death > 1000) AS betti FROM d GROUP BY ALL")
+def alive(spark, sf):
+    return diagram.alive_at(I.shipping_diagram(spark, sf), 1000)
+
+
+@query("diagram_betti_numbers", _SHIP + "SELECT diagram_id, dim, count(*) FILTER (death = 'infinity'::DOUBLE) AS betti FROM d GROUP BY ALL")
+def betti(spark, sf):
+    return diagram.betti_numbers(I.shipping_diagram(spark, sf))
+
+
+for _how, _expr in (("bottleneck", "max(p)"), ("persistence", "sum(pow(p, 2))"), ("wasserstein", "sqrt(sum(pow(p, 2)))")):
+
+    @query(f"diagram_amplitude_{_how}", f"WITH {I.SUPPLIERS} SELECT diagram_id, round({_expr}, 6) AS amplitude FROM f GROUP BY ALL")
+    def amplitude(spark, sf, how=_how):
+        return rounded(diagram.amplitude(I.supplier_diagram(spark, sf), how), "amplitude")
+
+
+@query("diagram_birth_curve", f"""WITH {I.SUPPLIERS}, s AS (SELECT diagram_id, min(birth) lo, max(birth) hi FROM f GROUP BY ALL),
+b AS (SELECT f.diagram_id, CAST(least(floor((birth - lo) / (hi - lo) * 20), 19) AS INTEGER) AS bin, count(*)::DOUBLE AS n FROM f JOIN s USING (diagram_id) GROUP BY ALL)
+SELECT diagram_id, CAST(i AS INTEGER) AS bin, coalesce(n, 0.0) AS value FROM s CROSS JOIN range(20) t(i) LEFT JOIN b ON b.diagram_id = s.diagram_id AND b.bin = t.i
+""".replace("SELECT diagram_id, CAST(i", "SELECT s.diagram_id, CAST(i"))
+def births(spark, sf):
+    return diagram.birth_curve(I.supplier_diagram(spark, sf), 20)
+
+
+@query("diagram_summary_features", f"WITH {I.SUPPLIERS} SELECT diagram_id, count(*) AS n, round(avg(p), 6) AS mean, round(max(p), 6) AS max, round(stddev_pop(p), 6) AS std, count(*) FILTER (round(p, 6) > 0.55) AS n_long FROM f GROUP BY ALL")
+def summary(spark, sf):
+    return rounded(diagram.summary_features(I.supplier_diagram(spark, sf), 0.55), "mean", "max", "std")
+
+
+@query("diagram_drift", f"""WITH {I.SUPPLIERS}, a AS (SELECT diagram_id, avg(birth) mb, stddev_pop(birth) sb, avg(death) md, stddev_pop(death) sd, avg(p) mp, stddev_pop(p) sp, count(*) n FROM f WHERE dim = 0 GROUP BY ALL),
+b AS (SELECT diagram_id, avg(birth) mb, avg(death) md, avg(p) mp, count(*) n FROM f WHERE dim = 1 GROUP BY ALL)
+SELECT diagram_id, round((abs(b.mb - a.mb) / greatest(sb, 1e-12) + abs(b.md - a.md) / greatest(sd, 1e-12) + abs(b.mp - a.mp) / greatest(sp, 1e-12) + 2 * abs(1 - b.n / a.n)) / 5, 6) AS drift FROM a JOIN b USING (diagram_id)""")
+def drift(spark, sf):
+    d = I.supplier_diagram(spark, sf)
+    return rounded(diagram.drift_score(d.where("dim = 0"), d.where("dim = 1")), "drift")
+
+
+@query("cloud_quality", f"WITH {I.PART_PLANE} SELECT cloud_id, count(*) AS n_points, count(DISTINCT (x, y)) AS n_distinct, 0::BIGINT AS n_nan, 0::BIGINT AS n_infinite, min(least(x, y)) AS lowest, max(greatest(x, y)) AS highest FROM plane GROUP BY ALL")
+def quality(spark, sf):
+    q = distance.data_quality(I.part_plane(spark, sf))
+    return q.withColumns({c: F.col(c).cast("long") for c in ("n_nan", "n_infinite")})
+
+
+# joins: distances
+
+
+@query("pairwise_distances", f"WITH {I.PART_PLANE} SELECT a.cloud_id, a.point_id AS src, b.point_id AS dst, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS dist FROM plane a JOIN plane b ON a.cloud_id = b.cloud_id AND a.point_id < b.point_id")
+def pairwise(spark, sf):
+    return rounded(distance.pairwise(I.part_plane(spark, sf)), "dist")
+
+
+_LIST = {
+    "manhattan": "list_sum([abs(t[1] - t[2]) for t in list_zip(a.v, b.v)])",
+    "chebyshev": "list_max([abs(t[1] - t[2]) for t in list_zip(a.v, b.v)])",
+    "cosine": "1 - list_sum([t[1] * t[2] for t in list_zip(a.v, b.v)]) / sqrt(list_sum([x * x for x in a.v]) * list_sum([x * x for x in b.v]))",
+    "minkowski": "pow(list_sum([pow(abs(t[1] - t[2]), 3) for t in list_zip(a.v, b.v)]), 1 / 3.0::DOUBLE)",
+    "canberra": "list_sum([CASE WHEN abs(t[1]) + abs(t[2]) > 0 THEN abs(t[1] - t[2]) / (abs(t[1]) + abs(t[2])) ELSE 0 END for t in list_zip(a.v, b.v)])",
+    "braycurtis": "list_sum([abs(t[1] - t[2]) for t in list_zip(a.v, b.v)]) / list_sum([abs(t[1] + t[2]) for t in list_zip(a.v, b.v)])",
+}
+for _name, _expr in _LIST.items():
+
+    @query(f"metric_{_name}", f"WITH {I.VECTORS} SELECT cloud_id, count(*) AS n, round(avg(x), 6) AS mean, round(min(x), 6) AS low, round(max(x), 6) AS high FROM (SELECT a.cloud_id, {_expr} AS x FROM vec a JOIN vec b ON a.cloud_id = b.cloud_id AND a.point_id < b.point_id) GROUP BY cloud_id")
+    def metric_query(spark, sf, name=_name):
+        d = distance.pairwise(I.vectors(spark, sf), name)
+        return d.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("dist")).alias("mean"), r6(F.min("dist")).alias("low"), r6(F.max("dist")).alias("high"))
+
+
+@query("cross_distances", f"WITH {I.PART_PLANE} SELECT a.cloud_id, count(*) AS n, round(sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 3) AS total FROM plane a JOIN plane b ON a.cloud_id = b.cloud_id WHERE a.x > 25 AND b.x <= 25 GROUP BY ALL")
+def cross(spark, sf):
+    p = I.part_plane(spark, sf)
+    big = F.get("coords", F.lit(0)) > 25
+    return distance.cross_distances(p.where(big), p.where(~big)).groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("dist"), 3).alias("total"))
+
+
+@query("range_edges", f"WITH {I.PART_EDGES} SELECT cloud_id, src, dst, round(dist, 6) AS dist FROM ed")
+def edges(spark, sf):
+    return rounded(I.part_edges(spark, sf), "dist")
+
+
+@query("radius_count", f"WITH {I.PART_EDGES}, n AS (SELECT cloud_id, src AS point_id FROM ed UNION ALL SELECT cloud_id, dst FROM ed) SELECT p.cloud_id, p.point_id, count(n.point_id) AS degree FROM plane p LEFT JOIN n ON n.cloud_id = p.cloud_id AND n.point_id = p.point_id GROUP BY ALL")
+def radius(spark, sf):
+    return distance.radius_count(I.part_plane(spark, sf), 1.5)
+
+
+@query("nearest_neighbours", f"""WITH {I.PART_PLANE} SELECT cloud_id, src, dst, round(dist, 6) AS dist, CAST(r AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY cloud_id, src ORDER BY dist, dst) AS r FROM (
+    SELECT a.cloud_id, a.point_id AS src, b.point_id AS dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM plane a JOIN plane b ON a.cloud_id = b.cloud_id AND a.point_id <> b.point_id)) WHERE r <= 3""")
+def knn(spark, sf):
+    return rounded(distance.nearest(I.part_plane(spark, sf), 3), "dist")
+
+
+@query("as_of_join", f"WITH {I.EVENTS}, b AS (SELECT user_id, t, max(value) AS value FROM e WHERE event_type = (SELECT min(event_type) FROM e) GROUP BY ALL) SELECT e.event_id, round(b.value, 6) AS last_value FROM e ASOF LEFT JOIN b ON e.user_id = b.user_id AND e.t >= b.t")
+def as_of(spark, sf):
+    e = I.event_series(spark, sf)
+    first = e.agg(F.min("event_type").alias("m"))
+    b = e.join(F.broadcast(first), F.col("event_type") == F.col("m")).select("user_id", "t", "value")
+    return anomaly.as_of(e.select("event_id", "user_id", "t"), b, "user_id", "t", "value").select("event_id", r6("last_value").alias("last_value"))
+
+
+@query("interval_join", f"WITH {I.EVENTS} SELECT a.event_id, b.event_id AS r_event_id FROM e a JOIN e b ON a.user_id = b.user_id AND abs(a.t - b.t) < 3600 AND a.event_id < b.event_id")
+def interval(spark, sf):
+    e = I.event_series(spark, sf).select("event_id", "user_id", "t")
+    return anomaly.within(e, e, "user_id", "t", 3600).where("event_id < r_event_id").select("event_id", "r_event_id")
+
+
+@query("latest_per_key", f"WITH {I.EVENTS} SELECT user_id, t, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) AS r FROM e) WHERE r = 1")
+def latest(spark, sf):
+    return anomaly.latest(I.event_series(spark, sf).select("user_id", "t", "event_id"), "user_id", "t")
+
+
+# complexes
+
+
+_TRIANGLES = I.PART_EDGES + """, tri AS (SELECT a.cloud_id, a.src AS u, a.dst AS v, b.dst AS w, greatest(a.dist, b.dist, c.dist) AS f
+  FROM ed a JOIN ed b ON a.cloud_id = b.cloud_id AND a.dst = b.src JOIN ed c ON c.cloud_id = a.cloud_id AND c.src = a.src AND c.dst = b.dst),
+cx AS (SELECT cloud_id, 0 AS dim, CAST(point_id AS VARCHAR) AS s, 0.0::DOUBLE AS f FROM plane
+  UNION ALL SELECT cloud_id, 1, src || ',' || dst, dist FROM ed
+  UNION ALL SELECT cloud_id, 2, u || ',' || v || ',' || w, f FROM tri)"""
+
+
+def _part_complex(spark, sf, top: int = 2) -> DataFrame:
+    return complexes.vietoris_rips(I.part_plane(spark, sf), 1.5, top)
+
+
+def _named(c: DataFrame) -> DataFrame:
+    return c.withColumn("s", F.array_join(F.transform("vertices", lambda v: v.cast("string")), ","))
+
+
+@query("vietoris_rips_complex", f"WITH {_TRIANGLES} SELECT cloud_id, CAST(dim AS INTEGER) AS dim, s, round(f, 6) AS f FROM cx")
+def rips(spark, sf):
+    return _named(_part_complex(spark, sf)).select("cloud_id", "dim", "s", r6("filtration").alias("f"))
+
+
+@query("filtration_order", f"WITH {_TRIANGLES} SELECT cloud_id, CAST(dim AS INTEGER) AS dim, count(*) AS n, CAST(sum(r) AS BIGINT) AS places FROM (SELECT *, row_number() OVER (PARTITION BY cloud_id ORDER BY f, dim) - 1 AS r FROM (SELECT cloud_id, dim, round(f, 6) AS f FROM cx)) GROUP BY ALL")
+def order(spark, sf):
+    c = complexes.ordered(rounded(_part_complex(spark, sf), "filtration"))
+    return c.groupBy("cloud_id", "dim").agg(F.count(F.lit(1)).alias("n"), F.sum("place").alias("places"))
+
+
+@query("boundary_matrix", f"""WITH {_TRIANGLES} SELECT cloud_id, CAST(dim AS INTEGER) AS dim, CAST(sign AS INTEGER) AS sign, count(*) AS n FROM (
+  SELECT cloud_id, 1 AS dim, unnest([1, -1]) AS sign FROM ed UNION ALL SELECT cloud_id, 2, unnest([1, -1, 1]) FROM tri) GROUP BY ALL""")
+def boundary(spark, sf):
+    return complexes.boundary(_part_complex(spark, sf)).groupBy("cloud_id", "dim", "sign").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("face_check", "SELECT 0::BIGINT AS n_missing")
+def faces(spark, sf):
+    return complexes.missing_faces(_part_complex(spark, sf)).agg(F.count(F.lit(1)).alias("n_missing"))
+
+
+@query("euler_characteristic", f"WITH {_TRIANGLES} SELECT cloud_id, CAST(sum(CASE dim WHEN 1 THEN -1 ELSE 1 END) AS BIGINT) AS euler FROM cx GROUP BY ALL")
+def euler(spark, sf):
+    return complexes.euler_characteristic(_part_complex(spark, sf))
+
+
+@query("closure_of_triangles", f"""WITH {_TRIANGLES}, fa AS (SELECT cloud_id, unnest([[u], [v], [w], [u, v], [u, w], [v, w], [u, v, w]]) AS s, f FROM tri)
+SELECT cloud_id, CAST(len(s) - 1 AS INTEGER) AS dim, count(*) AS n, round(sum(f), 4) AS total FROM (SELECT cloud_id, s, min(f) AS f FROM fa GROUP BY ALL) GROUP BY ALL""")
+def closed(spark, sf):
+    c = complexes.closure(_part_complex(spark, sf).where("dim = 2"))
+    return c.groupBy("cloud_id", "dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("filtration"), 4).alias("total"))
+
+
+@query("weighted_rips_edges", f"""WITH {I.PART_EDGES} SELECT e.cloud_id, count(*) AS n, round(sum(dist / (1 + (a.x + b.x) / 2)), 5) AS total
+FROM ed e JOIN plane a ON a.point_id = e.src JOIN plane b ON b.point_id = e.dst GROUP BY ALL""")
+def weighted(spark, sf):
+    p = I.part_plane(spark, sf)
+    w = p.select("cloud_id", "point_id", F.get("coords", F.lit(0)).alias("weight"))
+    return complexes.weighted_edges(I.part_edges(spark, sf), w).groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("dist"), 5).alias("total"))
+
+
+@query("graph_laplacian_entries", f"""WITH {_TRIANGLES}, dg AS (SELECT cloud_id, v, count(*) AS n FROM (SELECT cloud_id, src AS v FROM ed UNION ALL SELECT cloud_id, dst FROM ed) GROUP BY ALL)
+SELECT cloud_id, CAST(v AS VARCHAR) AS r, CAST(v AS VARCHAR) AS c, n AS value FROM dg UNION ALL SELECT cloud_id, CAST(src AS VARCHAR), CAST(dst AS VARCHAR), -1 FROM ed UNION ALL SELECT cloud_id, CAST(dst AS VARCHAR), CAST(src AS VARCHAR), -1 FROM ed""")
+def hodge0(spark, sf):
+    l = complexes.laplacian(_part_complex(spark, sf), 0)
+    first = lambda c: F.get(c, F.lit(0)).cast("string")
+    return l.select("cloud_id", first("row").alias("r"), first("col").alias("c"), "value")
+
+
+@query("hodge_laplacian_trace", f"""WITH {_TRIANGLES}, cof AS (SELECT cloud_id, unnest([u || ',' || v, u || ',' || w, v || ',' || w]) AS s FROM tri)
+SELECT e.cloud_id, CAST(2 * count(*) + coalesce(max(k.n), 0) AS BIGINT) AS trace FROM ed e LEFT JOIN (SELECT cloud_id, count(*) AS n FROM cof GROUP BY ALL) k ON k.cloud_id = e.cloud_id GROUP BY ALL""")
+def hodge1(spark, sf):
+    l = complexes.laplacian(_part_complex(spark, sf), 1).where("row = col")
+    return l.groupBy("cloud_id").agg(F.sum("value").alias("trace"))
+
+
+@query("level_set_complex", f"""WITH {I.GRID}, v AS (SELECT g.value AS a, r.value AS r, w.value AS w, e.value AS e FROM g LEFT JOIN g r ON r.x = g.x + 1 AND r.y = g.y LEFT JOIN g w ON w.x = g.x AND w.y = g.y + 1 LEFT JOIN g e ON e.x = g.x + 1 AND e.y = g.y + 1),
+s AS (SELECT 0 AS dim, a AS f FROM v UNION ALL SELECT 1, greatest(a, r) FROM v WHERE r IS NOT NULL UNION ALL SELECT 1, greatest(a, w) FROM v WHERE w IS NOT NULL UNION ALL SELECT 1, greatest(a, e) FROM v WHERE e IS NOT NULL
+  UNION ALL SELECT 2, greatest(a, r, e) FROM v WHERE r IS NOT NULL AND e IS NOT NULL UNION ALL SELECT 2, greatest(a, w, e) FROM v WHERE w IS NOT NULL AND e IS NOT NULL)
+SELECT CAST(dim AS INTEGER) AS dim, f, count(*) AS n FROM s GROUP BY ALL""")
+def level_set(spark, sf):
+    return complexes.level_set(I.order_grid(spark, sf)).groupBy("dim", F.col("filtration").alias("f")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("grid_extrema", f"""WITH {I.GRID}, j AS (SELECT a.x, a.y, a.value, min(b.value) lo, max(b.value) hi FROM g a JOIN g b ON abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY ALL)
+SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CASE WHEN value < lo THEN 'minimum' ELSE 'maximum' END AS kind FROM j WHERE value < lo OR value > hi""")
+def extrema(spark, sf):
+    return complexes.grid_extrema(I.order_grid(spark, sf)).select("x", "y", "kind")
+
+
+# persistence
+
+
+@query("h0_supplier_line", f"""WITH {I.SUPPLIER_LINE}, gp AS (SELECT cloud_id, x - lag(x) OVER (PARTITION BY cloud_id ORDER BY x) AS gap FROM line)
+SELECT cloud_id AS diagram_id, 0 AS dim, 0.0::DOUBLE AS birth, round(gap, 6) AS death FROM gp WHERE gap > 1e-12 UNION ALL SELECT DISTINCT cloud_id, 0, 0.0::DOUBLE, CAST(NULL AS DOUBLE) FROM line""")
+def h0(spark, sf):
+    return no_infinity(persistence.persistence(I.supplier_line(spark, sf), 0))
+
+
+@query("h0_spanning_forest", _SQL["h0_supplier_line"])
+def h0_forest(spark, sf):
+    p = I.supplier_line(spark, sf)
+    return no_infinity(persistence.components_diagram(p, distance.pairwise(p)))
+
+
+@query("h0_betti_curve", f"""WITH {I.SUPPLIER_LINE}, gp AS (SELECT cloud_id, x - lag(x) OVER (PARTITION BY cloud_id ORDER BY x) AS gap FROM line),
+pr AS (SELECT cloud_id, gap AS death FROM gp WHERE gap > 1e-12 UNION ALL SELECT DISTINCT cloud_id, 'infinity'::DOUBLE FROM line),
+h AS (SELECT cloud_id, CAST(i AS INTEGER) AS i, i * 2.0::DOUBLE / 49 AS t FROM (SELECT DISTINCT cloud_id FROM line) CROSS JOIN range(50) r(i))
+SELECT h.cloud_id AS diagram_id, i, count(*) FILTER (death > t) AS betti FROM h JOIN pr USING (cloud_id) GROUP BY ALL""")
+def h0_curve(spark, sf):
+    d = persistence.persistence(I.supplier_line(spark, sf), 0)
+    return vectorize.betti_curve(d, 50, 2.0).select("diagram_id", "i", "betti")
+
+
+@query("vr_persistence_h1")
+def h1(spark, sf):
+    return no_infinity(rounded(persistence.persistence(I.part_plane(spark, sf), 1, 6.0, landmarks=40), "birth"))
+
+
+@query("grid_persistence")
+def grid_pairs(spark, sf):
+    return no_infinity(persistence.persistence_of_grid(I.order_grid(spark, sf)))
+
+
+@query("edge_persistence")
+def edge_pairs(spark, sf):
+    return no_infinity(persistence.persistence_of_edges(I.part_edges(spark, sf), 1, I.part_plane(spark, sf)))
+
+
+@query("event_persistence", "SELECT CAST(c_nationkey AS VARCHAR) AS diagram_id, 0 AS dim, 0.0::DOUBLE AS birth, count(*) AS n FROM customer GROUP BY ALL")
+def event_pairs(spark, sf):
+    c = load(spark, sf, "customer")
+    e = c.select(F.col("c_nationkey").cast("string").alias("cloud_id"), F.col("c_custkey").alias("seq"), F.lit("add").alias("op"), F.array("c_custkey").alias("vertices"))
+    return persistence.persistence_of_events(e).groupBy("diagram_id", "dim", "birth").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sliding_chunks", f"""WITH {I.SUPPLIER_LINE}, i AS (SELECT cloud_id, row_number() OVER (PARTITION BY cloud_id ORDER BY point_id) - 1 AS i FROM line)
+SELECT cloud_id || '/' || c AS chunk_id, count(*) AS n FROM i JOIN range(10000) t(c) ON c * 2 <= i AND i < c * 2 + 3 GROUP BY ALL""")
+def chunks(spark, sf):
+    return persistence.chunked(I.supplier_line(spark, sf), 3, 1).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("farthest_landmarks")
+def landmarks(spark, sf):
+    return persistence.farthest_landmarks(I.part_plane(spark, sf), 10)
+
+
+@query("bootstrap_h0")
+def bootstrapped(spark, sf):
+    return no_infinity(persistence.bootstrap(I.supplier_line(spark, sf), 3, 0))
+
+
+@query("witness_persistence")
+def witness(spark, sf):
+    return no_infinity(persistence.sparse_rips(I.part_plane(spark, sf), 4.0))
+
+
+# vectorisations
+
+_SUP = f"WITH {I.SUPPLIERS}"
+
+
+def _range_grid(n: int, lo: str, hi: str, pad: float = 0.1) -> str:
+    return f"""sp AS (SELECT diagram_id, a - (b - a) * {pad}::DOUBLE AS lo, b + (b - a) * {pad}::DOUBLE AS hi FROM (SELECT diagram_id, {lo} AS a, {hi} AS b FROM f GROUP BY ALL)),
+gr AS (SELECT diagram_id, CAST(i AS INTEGER) AS i, lo + i * (hi - lo) / {n - 1}.0::DOUBLE AS t FROM sp CROSS JOIN range({n}) r(i))"""
+
+
+@query("landscape", f"""{_SUP}, {_range_grid(30, 'min(birth)', 'max(death)')},
+h AS (SELECT *, row_number() OVER (PARTITION BY diagram_id, i ORDER BY v DESC) AS lv FROM (SELECT gr.diagram_id, i, greatest(least(t - birth, death - t), 0) AS v FROM gr JOIN f USING (diagram_id)) WHERE v > 0)
+SELECT gr.diagram_id, CAST(l AS INTEGER) AS level, gr.i, round(coalesce(v, 0), 6) AS value FROM gr CROSS JOIN range(1, 4) k(l) LEFT JOIN h ON h.diagram_id = gr.diagram_id AND h.i = gr.i AND h.lv = l""")
+def landscape(spark, sf):
+    return rounded(vectorize.landscape(I.supplier_diagram(spark, sf), 3, 30), "value").drop("t")
+
+
+@query("silhouette", f"{_SUP}, {_range_grid(30, 'min(birth)', 'max(death)')} SELECT diagram_id, i, round(sum(p * greatest(least(t - birth, death - t), 0)) / sum(p), 6) AS value FROM gr JOIN f USING (diagram_id) GROUP BY ALL")
+def silhouette(spark, sf):
+    return rounded(vectorize.silhouette(I.supplier_diagram(spark, sf), 30), "value").drop("t")
+
+
+@query("silhouette_by_count", f"{_SUP}, {_range_grid(30, 'min(birth)', 'max(death)')} SELECT diagram_id, i, round(sum(p * p * greatest(least(t - birth, death - t), 0)) / count(*), 6) AS value FROM gr JOIN f USING (diagram_id) GROUP BY ALL")
+def silhouette_count(spark, sf):
+    return rounded(vectorize.silhouette(I.supplier_diagram(spark, sf), 30, 2.0, divide="count"), "value").drop("t")
+
+
+@query("betti_curve", _SHIP + """, hi AS (SELECT diagram_id, max(death) AS hi FROM f GROUP BY ALL), gr AS (SELECT diagram_id, CAST(i AS INTEGER) AS i, 0.0::DOUBLE + i * (hi - 0.0::DOUBLE) / 19.0::DOUBLE AS t FROM hi CROSS JOIN range(20) r(i))
+SELECT gr.diagram_id, dim, i, count(*) FILTER (birth <= t AND death > t) AS betti FROM gr JOIN d USING (diagram_id) GROUP BY ALL""")
+def curve(spark, sf):
+    return vectorize.betti_curve(I.shipping_diagram(spark, sf), 20).drop("t")
+
+
+_STEPS = """st AS (SELECT diagram_id, dim, t, sum(s) AS s FROM (SELECT diagram_id, dim, birth AS t, 1 AS s FROM d UNION ALL SELECT diagram_id, dim, death, -1 FROM d WHERE death < 'infinity'::DOUBLE) GROUP BY ALL HAVING sum(s) <> 0)"""
+
+
+@query("betti_steps", _SHIP + f", {_STEPS} SELECT diagram_id, dim, t, CAST(sum(s) OVER (PARTITION BY diagram_id, dim ORDER BY t) AS BIGINT) AS betti FROM st")
+def steps(spark, sf):
+    return vectorize.betti_steps(I.shipping_diagram(spark, sf))
+
+
+@query("euler_curve", _SHIP + """, st AS (SELECT diagram_id, t, sum(s) AS s FROM (SELECT diagram_id, birth AS t, CASE dim WHEN 0 THEN 1 ELSE -1 END AS s FROM d UNION ALL SELECT diagram_id, death, CASE dim WHEN 0 THEN -1 ELSE 1 END FROM d WHERE death < 'infinity'::DOUBLE) GROUP BY ALL HAVING sum(s) <> 0)
+SELECT diagram_id, t, CAST(sum(s) OVER (PARTITION BY diagram_id ORDER BY t) AS BIGINT) AS euler FROM st""")
+def euler_curve(spark, sf):
+    return vectorize.euler_curve(I.shipping_diagram(spark, sf))
+
+
+@query("persistence_count_curve", _SHIP + """, hi AS (SELECT diagram_id, max(p) AS hi FROM f GROUP BY ALL), gr AS (SELECT diagram_id, CAST(i AS INTEGER) AS i, i * hi / 19.0::DOUBLE AS t FROM hi CROSS JOIN range(20) r(i))
+SELECT gr.diagram_id, i, count(*) FILTER (p > t) AS n FROM gr JOIN f USING (diagram_id) GROUP BY ALL""")
+def count_curve(spark, sf):
+    return vectorize.persistence_count_curve(I.shipping_diagram(spark, sf), 20).drop("t")
+
+
+@query("persistence_image", f"""{_SUP}, s AS (SELECT diagram_id, min(birth) x0, max(birth) x1, min(p) y0, max(p) y1 FROM f GROUP BY ALL),
+gr AS (SELECT diagram_id, CAST(i AS INTEGER) AS ix, CAST(j AS INTEGER) AS iy, x0 + i * (x1 - x0) / 9.0::DOUBLE AS gx, y0 + j * (y1 - y0) / 9.0::DOUBLE AS gy FROM s CROSS JOIN range(10) a(i) CROSS JOIN range(10) b(j))
+SELECT diagram_id, ix, iy, round(sum(p * exp(-((gx - birth) * (gx - birth) + (gy - p) * (gy - p)) / 0.5)), 6) AS value FROM gr JOIN f USING (diagram_id) GROUP BY ALL""")
+def image(spark, sf):
+    return rounded(vectorize.persistence_image(I.supplier_diagram(spark, sf), 10, 0.5), "value")
+
+
+@query("heat_kernel_signature", f"{_SUP}, {_range_grid(25, 'min(p)', 'max(p)', 0)} SELECT diagram_id, i, round(sum(exp(-pow(t - p, 2) / 0.5)), 6) AS value FROM gr JOIN f USING (diagram_id) GROUP BY ALL")
+def heat(spark, sf):
+    return rounded(vectorize.heat_kernel_signature(I.supplier_diagram(spark, sf), 25, 0.5), "value").drop("t")
+
+
+@query("heat_vector", f"{_SUP}, {_range_grid(25, 'min(birth)', 'max(death)', 0)} SELECT diagram_id, i, round(exp(-1.0::DOUBLE) * sum(p * exp(-pow(t - (birth + death) / 2, 2) / 2)), 6) AS value FROM gr JOIN f USING (diagram_id) GROUP BY ALL")
+def heat_vector(spark, sf):
+    return rounded(vectorize.heat_vector(I.supplier_diagram(spark, sf), 25), "value").drop("t")
+
+
+@query("adaptive_sigma", f"{_SUP} SELECT diagram_id, round(greatest(0.1, least(10, (max(birth) - min(birth) + max(p) - min(p)) / 2 / (2 * sqrt(count(*))))), 6) AS sigma FROM f GROUP BY ALL")
+def sigma(spark, sf):
+    return rounded(vectorize.adaptive_sigma(I.supplier_diagram(spark, sf)), "sigma")
+
+
+@query("diagram_vectors")
+def to_vectors(spark, sf):
+    v = vectorize.fixed_size(vectorize.to_vector(I.supplier_diagram(spark, sf), "landscape", levels=2, samples=20), 64)
+    return v.select("diagram_id", F.array_join(F.transform("vector", lambda x: F.round(x, 6).cast("string")), ",").alias("vector"))
+
+
+# kernels and distances
+
+_PROD = f"""{_SUP}, pr AS (SELECT a.diagram_id AS id_a, b.diagram_id AS id_b, a.birth AS b1, a.death AS d1, b.birth AS b2, b.death AS d2, a.p AS p1, b.p AS p2 FROM f a JOIN f b ON a.diagram_id <= b.diagram_id)"""
+_SQ = "(pow(b1 - b2, 2) + pow(d1 - d2, 2))"
+_KERNELS = {
+    "gaussian": (kernels.gaussian_kernel, f"sum(exp(-{_SQ} / 2))"),
+    "scale_space": (kernels.scale_space_kernel, f"sum(exp(-(0.5 * {_SQ} + 0.5 * pow(p1 - p2, 2)) / 2))"),
+    "heat": (kernels.heat_kernel, f"sum((exp(-{_SQ} / 8) - exp(-(pow(b1 - d2, 2) + pow(d1 - b2, 2)) / 8)) / (8 * pi()))"),
+    "fisher": (kernels.fisher_kernel, f"sum(p1 * p2 * exp(-{_SQ} / 2)) / sum(p1 * p2)"),
+}
+for _name, (_fn, _expr) in _KERNELS.items():
+
+    @query(f"kernel_{_name}", f"{_PROD} SELECT id_a, id_b, round({_expr}, 5) AS k FROM pr GROUP BY ALL")
+    def kernel(spark, sf, fn=_fn):
+        return fn(I.supplier_diagram(spark, sf)).withColumn("k", F.round("k", 5))
+
+
+@query("kernel_normalised", f"{_PROD}, kk AS (SELECT id_a, id_b, sum(exp(-{_SQ} / 2)) AS k FROM pr GROUP BY ALL) SELECT kk.id_a, kk.id_b, round(kk.k / sqrt(a.k * b.k), 6) AS k FROM kk JOIN kk a ON a.id_a = kk.id_a AND a.id_b = kk.id_a JOIN kk b ON b.id_a = kk.id_b AND b.id_b = kk.id_b")
+def kernel_norm(spark, sf):
+    return rounded(kernels.normalise_matrix(kernels.gaussian_kernel(I.supplier_diagram(spark, sf))), "k")
+
+
+@query("kernel_centred", f"""{_PROD}, kk AS (SELECT id_a, id_b, sum(exp(-{_SQ} / 2)) AS k FROM pr GROUP BY ALL), fu AS (SELECT * FROM kk UNION ALL SELECT id_b, id_a, k FROM kk WHERE id_a <> id_b)
+SELECT id_a, id_b, round(k - avg(k) OVER (PARTITION BY id_a) - avg(k) OVER (PARTITION BY id_b) + avg(k) OVER (), 4) + 0.0 AS k FROM fu""")
+def kernel_centre(spark, sf):
+    return kernels.centre_matrix(kernels.gaussian_kernel(I.supplier_diagram(spark, sf))).withColumn("k", F.round("k", 4) + F.lit(0.0))
+
+
+@query("sliced_wasserstein", f"""{_SUP}, pa AS (SELECT a.diagram_id AS id_a, b.diagram_id AS id_b FROM (SELECT DISTINCT diagram_id FROM f) a JOIN (SELECT DISTINCT diagram_id FROM f) b ON a.diagram_id <= b.diagram_id),
+pt AS (SELECT id_a, id_b, 0 AS side, birth AS x, death AS y FROM pa JOIN f ON f.diagram_id = id_a UNION ALL SELECT id_a, id_b, 0, (birth + death) / 2, (birth + death) / 2 FROM pa JOIN f ON f.diagram_id = id_b
+  UNION ALL SELECT id_a, id_b, 1, birth, death FROM pa JOIN f ON f.diagram_id = id_b UNION ALL SELECT id_a, id_b, 1, (birth + death) / 2, (birth + death) / 2 FROM pa JOIN f ON f.diagram_id = id_a),
+pj AS (SELECT *, row_number() OVER (PARTITION BY id_a, id_b, side, s ORDER BY v) AS r FROM (SELECT id_a, id_b, side, s, x * cos(-pi() / 2 + pi() * s / 6) + y * sin(-pi() / 2 + pi() * s / 6) AS v FROM pt CROSS JOIN range(6) a(s)))
+SELECT id_a, id_b, round(sum(g) / 6, 4) AS dist FROM (SELECT id_a, id_b, s, r, abs(sum(CASE side WHEN 0 THEN v ELSE -v END)) AS g FROM pj GROUP BY ALL) GROUP BY ALL""")
+def sliced(spark, sf):
+    return kernels.sliced_wasserstein(I.supplier_diagram(spark, sf), 6).withColumn("dist", F.round("dist", 4))
+
+
+_GAP = f"""{_SUP}, pr AS (SELECT a.diagram_id AS id_a, b.diagram_id AS id_b, a.rn AS i, b.rn AS j, greatest(abs(a.birth - b.birth), abs(a.death - b.death)) AS gap
+  FROM (SELECT *, row_number() OVER () AS rn FROM f) a JOIN (SELECT *, row_number() OVER () AS rn FROM f) b ON a.diagram_id <= b.diagram_id),
+ab AS (SELECT id_a, id_b, max(g) AS mx, avg(g) AS me FROM (SELECT id_a, id_b, i, min(gap) AS g FROM pr GROUP BY ALL) GROUP BY ALL),
+ba AS (SELECT id_a, id_b, max(g) AS mx, avg(g) AS me FROM (SELECT id_a, id_b, j, min(gap) AS g FROM pr GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query("hausdorff_distance", f"{_GAP} SELECT id_a, id_b, round(greatest(ab.mx, ba.mx), 6) AS dist FROM ab JOIN ba USING (id_a, id_b)")
+def hausdorff(spark, sf):
+    return rounded(kernels.hausdorff(I.supplier_diagram(spark, sf)), "dist")
+
+
+@query("chamfer_distance", f"{_GAP} SELECT id_a, id_b, round(ab.me + ba.me, 6) AS dist FROM ab JOIN ba USING (id_a, id_b)")
+def chamfer(spark, sf):
+    return rounded(kernels.chamfer(I.supplier_diagram(spark, sf)), "dist")
+
+
+@query("wasserstein_distance")
+def wasserstein(spark, sf):
+    return rounded(persistence.diagram_distances(I.supplier_line_diagram(spark, sf), "wasserstein"), "dist")
+
+
+@query("bottleneck_distance")
+def bottleneck(spark, sf):
+    return rounded(persistence.diagram_distances(I.supplier_line_diagram(spark, sf), "bottleneck"), "dist")
+
+
+@query("sinkhorn_distance")
+def sinkhorn(spark, sf):
+    return persistence.diagram_distances(I.supplier_line_diagram(spark, sf), "sinkhorn").withColumn("dist", F.round("dist", 4))
+
+
+@query("greedy_matching")
+def matching(spark, sf):
+    d = I.supplier_diagram(spark, sf)
+    return rounded(persistence.match_diagrams(d.where("dim = 0"), d.where("dim = 1"), 0.5), "dist")
+
+
+# graphs and Mapper
+
+
+@query("connected_components", f"""WITH {I.SUPPLIER_LINE}, s AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY cloud_id ORDER BY x) <= 0.8 THEN 0 ELSE 1 END AS b FROM line),
+g AS (SELECT *, sum(b) OVER (PARTITION BY cloud_id ORDER BY x ROWS UNBOUNDED PRECEDING) AS k FROM s)
+SELECT point_id AS v, min(point_id) OVER (PARTITION BY cloud_id, k) AS component FROM g""")
+def components(spark, sf):
+    p = I.supplier_line(spark, sf)
+    return graph.components(p.select(F.col("point_id").alias("v")), distance.range_edges(p, 0.8))
+
+
+@query("minimum_spanning_tree", f"WITH {I.SUPPLIER_LINE} SELECT cloud_id, round(max(x) - min(x), 4) AS weight, count(*) - 1 AS n FROM line GROUP BY ALL HAVING count(*) > 1")
+def tree(spark, sf):
+    f = graph.spanning_forest(distance.pairwise(I.supplier_line(spark, sf)))
+    return f.groupBy("cloud_id").agg(F.round(F.sum("dist"), 4).alias("weight"), F.count(F.lit(1)).alias("n"))
+
+
+@query("graph_betti", f"""WITH {I.SUPPLIER_LINE}, s AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY cloud_id ORDER BY x) <= 0.8 THEN 0 ELSE 1 END AS b FROM line),
+m AS (SELECT count(*) AS e FROM line a JOIN line b ON a.cloud_id = b.cloud_id AND a.point_id < b.point_id AND sqrt((a.x - b.x) * (a.x - b.x)) <= 0.8)
+SELECT CAST(sum(b) AS BIGINT) AS b0, CAST(any_value(e) - count(*) + sum(b) AS BIGINT) AS b1 FROM s CROSS JOIN m""")
+def graph_betti(spark, sf):
+    p = I.supplier_line(spark, sf)
+    return graph.betti(p.select(F.col("point_id").alias("v")), distance.range_edges(p, 0.8))
+
+
+@query("graph_clustering", f"""WITH {I.PART_EDGES}, t AS (SELECT a.src u, a.dst v, b.dst w FROM ed a JOIN ed b ON a.dst = b.src JOIN ed c ON c.src = a.src AND c.dst = b.dst),
+tv AS (SELECT unnest([u, v, w]) AS v FROM t), tc AS (SELECT v, count(*) n FROM tv GROUP BY v), dg AS (SELECT v, count(*) AS k FROM (SELECT src AS v FROM ed UNION ALL SELECT dst FROM ed) GROUP BY v HAVING count(*) > 1)
+SELECT dg.v, round(2.0::DOUBLE * coalesce(n, 0) / (k * (k - 1)), 6) AS coefficient FROM dg LEFT JOIN tc ON tc.v = dg.v""")
+def clustering(spark, sf):
+    return rounded(graph.clustering(I.part_edges(spark, sf)), "coefficient")
+
+
+@query("graph_degrees", f"WITH {I.PART_EDGES} SELECT v, count(*) AS degree FROM (SELECT src AS v FROM ed UNION ALL SELECT dst FROM ed) GROUP BY v")
+def degrees(spark, sf):
+    return graph.degrees(I.part_edges(spark, sf))
+
+
+_COVER = """WITH p AS (SELECT p_partkey AS point_id, p_retailprice AS z FROM part), sp AS (SELECT min(z) - 0.01::DOUBLE * (max(z) - min(z)) AS lo, max(z) + 0.01::DOUBLE * (max(z) - min(z)) AS hi FROM p),
+c AS (SELECT point_id, i FROM p CROSS JOIN sp CROSS JOIN range(8) r(i) WHERE z >= lo + i * ((hi - lo) / 8.0::DOUBLE) - (hi - lo) / 8.0::DOUBLE * 0.15::DOUBLE AND z <= lo + (i + 1) * ((hi - lo) / 8.0::DOUBLE) + (hi - lo) / 8.0::DOUBLE * 0.15::DOUBLE),
+m AS (SELECT point_id, dense_rank() OVER (ORDER BY i) - 1 AS cover_index FROM c), n AS (SELECT cover_index, count(*) AS size FROM m GROUP BY ALL)"""
+
+
+def _price_mapper(spark, sf):
+    p = load(spark, sf, "part").select(F.lit("part").alias("cloud_id"), F.col("p_partkey").alias("point_id"), F.array("p_retailprice").alias("coords"))
+    return mapper.mapper(p, "coordinate", 8, 0.3)
+
+
+@query("mapper_nodes", f"{_COVER} SELECT cover_index AS node, size FROM n")
+def mapper_nodes(spark, sf):
+    return _price_mapper(spark, sf)[1].select("node", "size")
+
+
+@query("mapper_edges", f"{_COVER} SELECT source, target, shared, round(shared / (sa + sb - shared), 6) AS weight FROM (SELECT a.cover_index AS source, b.cover_index AS target, count(*) AS shared, any_value(x.size) AS sa, any_value(y.size) AS sb FROM m a JOIN m b ON a.point_id = b.point_id AND a.cover_index < b.cover_index JOIN n x ON x.cover_index = a.cover_index JOIN n y ON y.cover_index = b.cover_index GROUP BY ALL)")
+def mapper_edges(spark, sf):
+    return rounded(_price_mapper(spark, sf)[2], "weight")
+
+
+@query("mapper_clusters")
+def mapper_clusters(spark, sf):
+    e = I.vectors(spark, sf)
+    return mapper.mapper(e, "eccentricity", 6, 0.3, "single_linkage", eps=0.8)[1]
+
+
+@query("spectral_features")
+def spectra(spark, sf):
+    l = complexes.laplacian(_part_complex(spark, sf, 1), 0)
+    f = spectral.spectral_features(spectral.spectrum(l))
+    return rounded(f, "gap", "cheeger_low", "cheeger_high", "heat_trace", "entropy", "radius")
+
+
+# series
+
+
+@query("change_points", f"""WITH {I.EVENTS}, w AS (SELECT event_id, event_type, avg(value) OVER a AS before, avg(value) OVER b AS after, count(*) OVER a AS na, count(*) OVER b AS nb FROM e
+  WINDOW a AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING))
+SELECT event_id, event_type, round(before, 6) AS before, round(after, 6) AS after, round(abs(after - before), 6) AS change FROM w WHERE na = 20 AND nb = 20""")
+def changes(spark, sf):
+    s = anomaly.change_points(I.event_series(spark, sf).select("event_id", "event_type", "value"), "event_type", "event_id", "value", 20)
+    return rounded(s, "before", "after", "change").drop("value")
+
+
+@query("trend", f"WITH {I.EVENTS} SELECT event_type, round(regr_slope(value, t) * 1e9, 2) AS slope, round(abs(corr(t, value)), 6) AS r, abs(corr(t, value)) > 0.5 AS trending FROM e GROUP BY ALL")
+def trends(spark, sf):
+    t = anomaly.trend(I.event_series(spark, sf), "event_type", "t", "value")
+    return t.select("event_type", F.round(F.col("slope") * 1e9, 2).alias("slope"), r6("r").alias("r"), "trending")
+
+
+_CDF = f"""WITH {I.EVENTS}, h AS (SELECT event_type, value AS v, CAST(event_id % 2 = 0 AS INTEGER) AS a FROM e), st AS (SELECT event_type, v, sum(a) AS a, sum(1 - a) AS b FROM h GROUP BY ALL),
+cd AS (SELECT *, abs(sum(a) OVER w / sum(a) OVER p - sum(b) OVER w / sum(b) OVER p) AS gap FROM st WINDOW w AS (PARTITION BY event_type ORDER BY v ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY event_type))"""
+
+
+def _halves(spark, sf):
+    e = I.event_series(spark, sf)
+    return e.where("event_id % 2 = 0"), e.where("event_id % 2 <> 0")
+
+
+@query("ks_statistic", f"{_CDF} SELECT event_type, round(max(gap), 6) AS ks FROM cd GROUP BY ALL")
+def ks(spark, sf):
+    return rounded(anomaly.ks_statistic(*_halves(spark, sf), "event_type", "value"), "ks")
+
+
+@query("cdf_l1_steps", f"{_CDF} SELECT event_type, round(sum(gap), 5) AS emd FROM cd GROUP BY ALL")
+def cdf(spark, sf):
+    return anomaly.cdf_steps(*_halves(spark, sf), "event_type", "value").withColumn("emd", F.round("emd", 5))
+
+
+@query("rolling_zscore", f"""WITH {I.EVENTS}, w AS (SELECT event_id, (value - avg(value) OVER a) / greatest(stddev_pop(value) OVER a, 1e-12) AS z, count(*) OVER a AS n FROM e WINDOW a AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
+SELECT event_id, round(z, 5) + 0.0 AS z, abs(z) > 3 AS critical FROM w WHERE n >= 2 AND abs(z) < 1e6""")
+def zscores(spark, sf):
+    z = anomaly.rolling_z(I.event_series(spark, sf), "event_type", "event_id", "value").where(F.abs("z") < 1e6)
+    return z.select("event_id", (F.round("z", 5) + F.lit(0.0)).alias("z"), "critical")
+
+
+_TESTS = f"WITH {I.EVENTS}, ts AS (SELECT event_type, event_id, (value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER () + 1) / 100 AS p FROM e)"
+
+
+def _tests(spark, sf):
+    e = I.event_series(spark, sf)
+    span = e.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return e.crossJoin(F.broadcast(span)).select("event_type", "event_id", ((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) / 100).alias("p"))
+
+
+@query("bonferroni", f"{_TESTS} SELECT event_id, round(least(1, p * count(*) OVER (PARTITION BY event_type)), 6) AS adjusted FROM ts")
+def bonferroni(spark, sf):
+    return rounded(anomaly.bonferroni(_tests(spark, sf), "event_type"), "adjusted").select("event_id", "adjusted")
+
+
+@query("benjamini_hochberg", f"""{_TESTS}, rk AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY p) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM ts)
+SELECT event_type, count(*) AS n, round(sum(a), 4) AS total FROM (SELECT event_type, min(least(1, p * n / r)) OVER (PARTITION BY event_type ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM rk) GROUP BY ALL""")
+def fdr(spark, sf):
+    t = anomaly.benjamini_hochberg(_tests(spark, sf), "event_type")
+    return t.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("adjusted"), 4).alias("total"))
+
+
+@query("regimes", f"""WITH {I.EVENTS}, s AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND lag(event_id) OVER w IS NOT NULL THEN 0 ELSE 1 END AS b FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS k FROM s)
+SELECT user_id, event_type, min(event_id) AS start, max(event_id) AS stop, count(*) AS n FROM r GROUP BY user_id, k, event_type HAVING count(*) >= 2""")
+def regimes(spark, sf):
+    return anomaly.regimes(I.event_series(spark, sf), "user_id", "event_id", "event_type", 2)
+
+
+@query("transitions", f"WITH {I.EVENTS}, t AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS dst FROM e), c AS (SELECT src, dst, count(*) AS n FROM t WHERE dst IS NOT NULL GROUP BY ALL) SELECT src, dst, n, round(n / sum(n) OVER (PARTITION BY src), 6) AS share FROM c")
+def transitions(spark, sf):
+    return rounded(anomaly.transitions(I.event_series(spark, sf), "user_id", "event_id", "event_type"), "share")
+
+
+@query("two_sample_effect", f"""WITH {I.EVENTS}, s AS (SELECT avg(value) FILTER (event_id % 2 = 0) ma, avg(value) FILTER (event_id % 2 <> 0) mb, var_samp(value) FILTER (event_id % 2 = 0) va, var_samp(value) FILTER (event_id % 2 <> 0) vb, count(*) FILTER (event_id % 2 = 0) na, count(*) FILTER (event_id % 2 <> 0) nb FROM e)
+SELECT round(ma - mb, 6) AS difference, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS effect, round((ma - mb) / sqrt(va / na + vb / nb), 6) AS wald FROM s""")
+def effect(spark, sf):
+    return rounded(anomaly.two_sample(*_halves(spark, sf), "value"), "difference", "effect", "wald")
+
+
+@query("lifetime_drift")
+def lifetimes(spark, sf):
+    return rounded(anomaly.lifetime_drift(I.event_series(spark, sf), "event_type", "event_id", "value", 50, 50, 5.0), "score")
+
+
+# streaming: the stream is drained into a table, which must agree with the batch
+
+
+@query("stream_hourly_statistics", "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_hourly(spark, sf):
+    import uuid
+
+    from filtra.streaming import windows
+
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    schema = load(spark, sf, "events").schema
+    s = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    out = windows.event_time_statistics(s.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value", "10 minutes", "1 hour")
+    q = out.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    t = spark.read.parquet(f"{base}/out")
+    return t.select(F.unix_timestamp("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return spark.read.parquet("/root/testdata/sf0.001/region.parquet")
+    """Component barcodes of each nation's supplier balances, as Betti curves."""
+    return h0_curve(spark, "/root/testdata/sf0.001")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
