@@ -98,8 +98,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "dedup") -> DataFrame:
     """docs with a column `out`: cleaned text, sentences, removed sentences and words, and where they stand first.
 
-    Sentences covered by a non-first occurrence of a repeated run go, with the white
-    space before them; all other characters stay. First is the smallest (id, place);
+    Sentences covered by a non-first occurrence of a repeated run go, with the blanks
+    before them, and with their line end if they are the whole line; all other
+    characters stay. First is the smallest (id, place);
     rows that repeat both id and text are one document; rows without an id come last.
     Null stays null; texts of fewer than RUN_WORDS words have no run.
     """
@@ -141,15 +142,15 @@ def _clean(text: bytes | None, places: list[int] | None, first: list[int] | None
     for p in places or ():
         start = p >> _LENGTH_BITS & ((1 << _START_BITS) - 1)
         gone.update(range(start, start + (p & ((1 << _LENGTH_BITS) - 1)) + 1))
-    kept, at = [], 0
+    left, at = b"", 0
     for i in sorted(gone):
-        kept.append(text[at : found[i][0]].rstrip() if at < found[i][0] else b"")
-        at = found[i][1]
-    if gone:
-        text = b"".join(kept) + text[at:]
-        text = text.lstrip() if 0 in gone else text
+        start, stop = found[i][:2]
+        left += text[at:start].rstrip(b" \t")  # line ends stay: they end sentences
+        whole = (not left or left.endswith(b"\n")) and text[stop : stop + 1] == b"\n"
+        at = stop + whole
+    left += text[at:]
     return {
-        "text": text.decode("utf-8", "replace"),
+        "text": (left if gone else text).decode("utf-8", "replace"),
         "n_sentences": len(found),
         "n_removed": len(gone),
         "n_removed_words": sum(found[i][3] for i in gone),
