@@ -197,6 +197,7 @@ def match_diagrams(ref: DataFrame, other: DataFrame, limit: float = math.inf) ->
         rows = assign.greedy_match(a[["birth", "death"]].to_numpy(), b[["birth", "death"]].to_numpy(), limit)
         return pd.DataFrame([(str(key[0]), *r) for r in rows], columns=["diagram_id", "i", "j", "dist"])
 
+    ref, other = ref.select(*_COLUMNS).toDF(*_COLUMNS), other.select(*_COLUMNS).toDF(*_COLUMNS)  # both may stem from one table
     return ref.groupBy("diagram_id").cogroup(other.groupBy("diagram_id")).applyInPandas(one, "diagram_id string, i int, j int, dist double")
 
 
