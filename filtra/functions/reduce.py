@@ -11,6 +11,7 @@ from itertools import combinations
 
 import numpy as np
 
+from filtra.functions import rips
 from filtra.schema import EPS
 
 Simplex = tuple[int, ...]
@@ -143,19 +144,22 @@ def distances(points: np.ndarray, metric: str = "euclidean") -> np.ndarray:
 def vr_pairs(matrix: np.ndarray, top: int, radius: float | None = None, modulus: int = 2, start: Sequence[float] | None = None, budget: int = 5_000_000) -> list[Pair]:
     """Vietoris-Rips pairs of a distance matrix; radius None: the largest distance.
 
-    Components come from the spanning forest; only higher dimensions are reduced.
+    Dimension 0 needs the spanning forest only, dimension 1 mod 2 no list of
+    triangles; whatever else is asked for builds the complex within the budget.
     """
     n = len(matrix)
     if n == 0:
         return []
     radius = float(matrix.max()) if radius is None else radius
+    if start is None and top == 0:
+        lengths, roots = rips.component_lengths(matrix, radius)
+        return [(0, 0.0, w) for w in lengths if w > EPS] + [(0, 0.0, math.inf)] * roots
+    if start is None and top == 1 and modulus == 2:
+        return rips.pairs(matrix, radius)
     u, v = np.triu_indices(n, 1)
     d = matrix[u, v]
     keep = np.isfinite(d) & (d <= radius)
     edges = list(zip(d[keep].tolist(), u[keep].tolist(), v[keep].tolist()))
-    if top == 0 and start is None:
-        kept, root = forest(n, edges)
-        return [(0, 0.0, w) for w, _, _ in kept if w > EPS] + [(0, 0.0, math.inf)] * len(set(root))
     return reduce_complex(cliques(n, {(a, b): w for w, a, b in edges}, top + 1, start, budget), top, modulus)
 
 
