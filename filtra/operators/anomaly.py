@@ -193,3 +193,36 @@ def permutation_test(a: DataFrame, b: DataFrame, value: str, rounds: int = 200,
     r = rows.crossJoin(F.broadcast(share)).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("t", draw)
     r = r.groupBy("round").agg((F.avg(F.when(F.col("t"), F.col("v"))) - F.avg(F.when(~F.col("t"), F.col("v")))).alias("d"))
     return r.crossJoin(F.broadcast(known)).groupBy("difference").agg(((F.count_if(F.abs("d") >= F.abs("difference")) + 1) / (rounds + 1)).alias("p"))
+
+
+def label_means(series: DataFrame, label: str, value: str) -> DataFrame:
+    """(label, mean, n, prior): emissions and priors of labelled rows."""
+    m = series.groupBy(label).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+    return m.withColumn("prior", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+def nearest_mean(series: DataFrame, means: DataFrame, label: str, value: str) -> DataFrame:
+    """series with `predicted`: the label of the nearest mean, ties by label; means has a row a label."""
+    m = means.select(F.col(label).alias(f"m_{label}"), "mean").agg(F.collect_list(F.struct(f"m_{label}", "mean")).alias("means"))
+    near = F.array_min(F.transform("means", lambda x: F.struct(F.abs(F.col(value) - x["mean"]).alias("gap"), x[f"m_{label}"].alias("l"))))
+    return series.crossJoin(F.broadcast(m)).withColumn("predicted", near["l"]).drop("means")
+
+
+def information_criteria(fits: DataFrame, log_likelihood: str = "log_likelihood", parameters: str = "k", rows: str = "n") -> DataFrame:
+    """fits with aic = 2k - 2 ln L and bic = k ln n - 2 ln L."""
+    ll, k = F.col(log_likelihood), F.col(parameters)
+    return fits.withColumns({"aic": 2 * k - 2 * ll, "bic": k * F.log(F.col(rows)) - 2 * ll})
+
+
+def stratified_sample(rows: DataFrame, stratum: str, key: str, share: float, seed: int = 42) -> DataFrame:
+    """About `share` of each stratum, by a seeded hash of the key, so that reruns agree."""
+    draw = F.pmod(F.xxhash64(key, stratum, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    return rows.where(draw < share)
+
+
+def robust_outliers(rows: DataFrame, group: str, value: str, limit: float = 3.5) -> DataFrame:
+    """rows with `outlier`: over `limit` scaled median deviations from the group's median."""
+    m = rows.groupBy(group).agg(F.median(value).alias("_m"))
+    r = rows.join(m, group)
+    s = r.groupBy(group).agg(F.median(F.abs(F.col(value) - F.col("_m"))).alias("_s"))
+    return r.join(s, group).withColumn("outlier", 0.6745 * F.abs(F.col(value) - F.col("_m")) > limit * F.greatest("_s", F.lit(EPS))).drop("_m", "_s")

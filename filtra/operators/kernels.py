@@ -139,3 +139,24 @@ def chamfer(d: DataFrame) -> DataFrame:
 def distance_statistics(distances: DataFrame) -> DataFrame:
     x = F.col("dist")
     return distances.agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.stddev_pop(x).alias("std"))
+
+
+def cell_distance(d: DataFrame, cell: float = 1.0) -> DataFrame:
+    """(id_a, id_b, dist): L1 distance of the diagrams' counts in square cells, an equi-join on cells."""
+    f = finite_pairs(d).groupBy(KEY, F.floor(F.col("birth") / cell).alias("i"), F.floor(F.col("death") / cell).alias("j")).agg(F.count(F.lit(1)).alias("n"))
+    both = pair_ids(f, itself=False)
+    a = both.join(f.withColumnRenamed(KEY, "id_a"), "id_a").select("id_a", "id_b", "i", "j", "n")
+    b = both.join(f.withColumnRenamed(KEY, "id_b"), "id_b").select("id_a", "id_b", "i", "j", (-F.col("n")).alias("n"))
+    gap = a.unionByName(b).groupBy("id_a", "id_b", "i", "j").agg(F.abs(F.sum("n")).alias("g"))
+    return gap.groupBy("id_a", "id_b").agg(F.sum("g").alias("dist"))
+
+
+def similar_vectors(vectors: DataFrame, limit: float, bucket: float = 1.0, tables: int = 4, seed: int = 7) -> DataFrame:
+    """(id_a, id_b, dist): vectors of one size within `limit`, candidates by random-projection buckets (approximate)."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    v = vectors.select(KEY, array_to_vector("vector").alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(v)
+    j = model.approxSimilarityJoin(v, v, limit, "dist")
+    return j.select(F.col(f"datasetA.{KEY}").alias("id_a"), F.col(f"datasetB.{KEY}").alias("id_b"), "dist").where("id_a < id_b")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filtra.operators import anomaly, complexes, diagram, distance, graph, kernels, mapper, persistence, spectral, vectorize
+from filtra.operators import anomaly, complexes, diagram, distance, graph, kernels, mapper, morse, persistence, spectral, vectorize
 from filtra.plans import inputs as I
 from filtra.plans.tables import load, shared_folder
 
@@ -569,6 +569,14 @@ def chamfer(spark, sf):
     return rounded(kernels.chamfer(I.supplier_diagram(spark, sf)), "dist")
 
 
+@query("cell_distance", f"""{_SUP}, h AS (SELECT diagram_id, floor(birth) AS i, floor(death) AS j, count(*) AS n FROM f GROUP BY ALL),
+p AS (SELECT a.diagram_id AS id_a, b.diagram_id AS id_b FROM (SELECT DISTINCT diagram_id FROM f) a JOIN (SELECT DISTINCT diagram_id FROM f) b ON a.diagram_id < b.diagram_id),
+g AS (SELECT id_a, id_b, i, j, abs(sum(n)) AS g FROM (SELECT id_a, id_b, i, j, n FROM p JOIN h ON h.diagram_id = id_a UNION ALL SELECT id_a, id_b, i, j, -n FROM p JOIN h ON h.diagram_id = id_b) GROUP BY ALL)
+SELECT id_a, id_b, CAST(sum(g) AS BIGINT) AS dist FROM g GROUP BY ALL""")
+def cells(spark, sf):
+    return kernels.cell_distance(I.supplier_diagram(spark, sf))
+
+
 @query("wasserstein_distance")
 def wasserstein(spark, sf):
     return rounded(persistence.diagram_distances(I.supplier_line_diagram(spark, sf), "wasserstein"), "dist")
@@ -747,6 +755,34 @@ def lifetimes(spark, sf):
     return rounded(anomaly.lifetime_drift(I.event_series(spark, sf), "event_type", "event_id", "value", 50, 50, 5.0), "score")
 
 
+@query("label_means", f"WITH {I.EVENTS} SELECT event_type, round(avg(value), 6) AS mean, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS prior FROM e GROUP BY ALL")
+def label_means(spark, sf):
+    return rounded(anomaly.label_means(I.event_series(spark, sf), "event_type", "value"), "mean", "prior")
+
+
+@query("nearest_mean_labels", f"WITH {I.EVENTS}, m AS (SELECT event_type AS l, avg(value) AS mean FROM e GROUP BY ALL) SELECT event_id, l AS predicted FROM (SELECT event_id, l, row_number() OVER (PARTITION BY event_id ORDER BY abs(value - mean), l) AS r FROM e CROSS JOIN m) WHERE r = 1")
+def nearest_labels(spark, sf):
+    e = I.event_series(spark, sf)
+    return anomaly.nearest_mean(e, anomaly.label_means(e, "event_type", "value"), "event_type", "value").select("event_id", "predicted")
+
+
+@query("robust_outliers", f"""WITH {I.EVENTS}, m AS (SELECT event_type, median(value) AS m FROM e GROUP BY ALL), s AS (SELECT e.event_type, median(abs(value - m)) AS s FROM e JOIN m USING (event_type) GROUP BY ALL)
+SELECT event_type, count(*) FILTER (0.6745 * abs(value - m) > 3.5 * greatest(s, 1e-12)) AS n FROM e JOIN m USING (event_type) JOIN s USING (event_type) GROUP BY ALL""")
+def robust(spark, sf):
+    return anomaly.robust_outliers(I.event_series(spark, sf), "event_type", "value").groupBy("event_type").agg(F.count_if("outlier").alias("n"))
+
+
+@query("watershed_basins")
+def basins(spark, sf):
+    return morse.watershed(I.order_grid(spark, sf)).select("x", "y", "bx", "by")
+
+
+@query("morse_critical", f"""WITH {_TRIANGLES} SELECT cloud_id, CAST(sum(CASE dim WHEN 1 THEN -1 ELSE 1 END) AS BIGINT) AS euler FROM cx GROUP BY ALL""")
+def critical(spark, sf):
+    m = morse.morse_matching(_part_complex(spark, sf)).where("partner IS NULL")
+    return m.groupBy("cloud_id").agg(F.sum(F.when(F.col("dim") == 1, -1).otherwise(1)).alias("euler"))
+
+
 # streaming: the stream is drained into a table, which must agree with the batch
 
 
