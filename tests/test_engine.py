@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from filtra import schema
 from filtra.functions import sql
-from filtra.operators import anomaly, complexes, diagram, distance, graph, kernels, mapper, persistence, spectral, vectorize
+from filtra.operators import anomaly, complexes, diagram, distance, graph, kernels, mapper, morse, persistence, spectral, vectorize
 from filtra.plans import pipeline
 from filtra.sources import formats
 from filtra.streaming import windows
@@ -249,3 +249,36 @@ def test_bootstrap_and_sweep_repeat(spark):
     assert rows(persistence.bootstrap(p, 2), "*") == rows(persistence.bootstrap(p.repartition(3), 2), "*")
     assert persistence.sweep(p, [1.0, 2.0], [0]).select("radius").distinct().count() == 2
     assert rows(persistence.sparse_rips(p, 100.0), "diagram_id", "death") == [("a", INF), ("b", INF)]
+
+
+def test_ml_stages(spark):
+    from pyspark.ml import PipelineModel
+
+    from filtra.plans.estimators import MapperTransformer, PersistenceTransformer, VectorTransformer
+
+    p = cloud(spark, a=SQUARE, b=LINE)
+    v = PipelineModel([PersistenceTransformer(), VectorTransformer("silhouette", 12, samples=10)]).transform(p)
+    assert all(len(r["vector"]) == 12 for r in v.collect()) and v.count() == 2
+    assert PersistenceTransformer(method="heat", samples=5).transform(p).count() == 2
+    assert MapperTransformer("coordinate", 4).transform(formats.circle(spark, 50)).count() == 3
+
+
+def test_gradients(spark):
+    rng = np.random.default_rng(3)
+    c = complexes.vietoris_rips(cloud(spark, a=rng.random((10, 2))), 0.5)
+    m = morse.morse_matching(c)
+    euler = lambda x: x.agg(F.sum(F.when(F.col("dim") % 2 == 0, 1).otherwise(-1))).first()[0]
+    assert euler(m.where("partner IS NULL")) == euler(c)
+    grid = spark.createDataFrame([("g", x, 0, float(v)) for x, v in enumerate([3, 1, 2, 5, 4, 0, 9])], "grid_id string, x int, y int, value double")
+    assert rows(morse.watershed(grid), "x", "bx") == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 5), (5, 5), (6, 5)]
+    v = spark.createDataFrame([(i, float(min(i, 8 - i))) for i in range(8)], "v long, value double")
+    e = spark.createDataFrame([(i, (i + 1) % 8) for i in range(8)], "src long, dst long")
+    cover = morse.level_components(v, e, 4)
+    assert morse.reeb_edges(cover, e).count() == cover.select("component").distinct().count()  # one loop
+
+
+def test_similar_vectors(spark):
+    v = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [0.1, 0.0]), ("c", [9.0, 9.0])], "diagram_id string, vector array<double>")
+    assert rows(kernels.similar_vectors(v, 1.0, 2.0), "id_a", "id_b") == [("a", "b")]
+    d = dgm(spark, [("a", 0, 0, 1), ("b", 0, 0, 1), ("c", 0, 5, 6)])
+    assert rows(kernels.cell_distance(d), "id_a", "id_b", "dist") == [("a", "b", 0), ("a", "c", 2), ("b", "c", 2)]
