@@ -394,7 +394,7 @@ def h0_curve(spark, sf):
 
 @query("vr_persistence_h1")
 def h1(spark, sf):
-    return no_infinity(rounded(persistence.persistence(I.part_plane(spark, sf), 1, 6.0, landmarks=40), "birth"))
+    return no_infinity(rounded(persistence.persistence(I.part_plane(spark, sf), 1, 6.0), "birth"))
 
 
 @query("grid_persistence")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filtra import schema
+from filtra.functions import reduce as R
 from filtra.functions import sql
 from filtra.operators import anomaly, complexes, diagram, distance, graph, kernels, mapper, morse, persistence, spectral, vectorize
 from filtra.plans import pipeline
@@ -282,3 +283,21 @@ def test_similar_vectors(spark):
     assert rows(kernels.similar_vectors(v, 1.0, 2.0), "id_a", "id_b") == [("a", "b")]
     d = dgm(spark, [("a", 0, 0, 1), ("b", 0, 0, 1), ("c", 0, 5, 6)])
     assert rows(kernels.cell_distance(d), "id_a", "id_b", "dist") == [("a", "b", 0), ("a", "c", 2), ("b", "c", 2)]
+
+
+def _as_plane(monkeypatch, clouds):
+    from filtra.plans import registry
+
+    monkeypatch.setattr(registry.I, "part_plane", lambda spark, sf: clouds)
+    return registry.queries()
+
+
+def test_registered_h1_takes_whole_clouds(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.random((60, 2)) * 12
+    got = _as_plane(monkeypatch, cloud(spark, a=x))["vr_persistence_h1"](spark, "")
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    edges = {(i, j): float(d[i, j]) for i in range(60) for j in range(i + 1, 60) if d[i, j] <= 6.0}
+    want = R.reduce_complex(R.cliques(60, edges, 2), 1)
+    key = lambda p: (p[0], round(p[1], 6), None if p[2] == INF else round(p[2], 6))
+    assert sorted(map(str, map(key, want))) == sorted(str((r.dim, r.birth, r.death)) for r in got.collect())
