@@ -154,6 +154,29 @@ def sparse_rips(points: DataFrame, cover: float, max_dim: int = 1) -> DataFrame:
     return points.select("cloud_id", "point_id", "coords").groupBy("cloud_id").applyInPandas(one, DIAGRAM)
 
 
+def witness_edges(landmarks: DataFrame, witnesses: DataFrame, radius: float = math.inf) -> DataFrame:
+    """(cloud_id, src, dst, dist) of landmark pairs: the least, over the cloud's witnesses w, of max(d(w, src), d(w, dst)).
+
+    Every point of witnesses counts, with no bound on their number; the minimum is a partial aggregate.
+    """
+    x = F.zip_with("coords", "at", lambda a, b: (a - b) * (a - b))
+    d = witnesses.select("cloud_id", F.col("point_id").alias("w"), F.col("coords").alias("at"))
+    d = d.join(landmarks.select("cloud_id", "point_id", "coords"), "cloud_id")
+    d = d.select("cloud_id", "w", "point_id", F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, b: a + b)).alias("d"))
+    near = d.groupBy("cloud_id", "w").agg(F.sort_array(F.collect_list(F.struct("point_id", "d"))).alias("near"))
+    pairs = near.select("cloud_id", "near", F.posexplode("near").alias("i", "a"))
+    pairs = pairs.select("cloud_id", "a", F.explode(F.slice("near", F.col("i") + 2, F.size("near"))).alias("b"))
+    edges = pairs.groupBy("cloud_id", F.col("a.point_id").alias("src"), F.col("b.point_id").alias("dst"))
+    return edges.agg(F.min(F.greatest("a.d", "b.d")).alias("dist")).where((F.col("dist") <= radius) & (F.col("dist") < math.inf))
+
+
+def witness_persistence(points: DataFrame, landmarks: int, max_dim: int = 1, radius: float = math.inf) -> DataFrame:
+    """Weak-witness diagrams over so many farthest-point landmarks; all points of a cloud are its witnesses."""
+    chosen = farthest_landmarks(points, landmarks).select(F.col("cloud_id").alias("c"), F.col("point_id").alias("p"))
+    marks = points.join(chosen, (F.col("cloud_id").cast("string") == F.col("c")) & (F.col("point_id") == F.col("p"))).select(points.columns)
+    return persistence_of_edges(witness_edges(marks, points, radius), max_dim, marks)
+
+
 def union_find_grid(grid: DataFrame) -> DataFrame:
     """Dimension 0 of sublevel sets of grids, from the forest of the grid's edges with their vertex births (elder rule)."""
     return persistence_of_complex(complexes.skeleton(complexes.level_set(grid), 1), 0)

@@ -432,6 +432,11 @@ def bootstrapped(spark, sf):
 
 @query("witness_persistence")
 def witness(spark, sf):
+    return no_infinity(rounded(persistence.witness_persistence(I.part_plane(spark, sf), 40), "birth"))
+
+
+@query("sparse_rips")
+def sparse(spark, sf):
     return no_infinity(persistence.sparse_rips(I.part_plane(spark, sf), 4.0))
 
 

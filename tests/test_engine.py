@@ -301,3 +301,19 @@ def test_registered_h1_takes_whole_clouds(spark, monkeypatch):
     want = R.reduce_complex(R.cliques(60, edges, 2), 1)
     key = lambda p: (p[0], round(p[1], 6), None if p[2] == INF else round(p[2], 6))
     assert sorted(map(str, map(key, want))) == sorted(str((r.dim, r.birth, r.death)) for r in got.collect())
+
+
+def test_witness_persistence_uses_every_witness(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    t = np.sort(rng.random(70)) * 2 * math.pi
+    x = np.c_[np.cos(t), np.sin(t)] * 5 + rng.random((70, 2))
+    got = _as_plane(monkeypatch, cloud(spark, a=x))["witness_persistence"](spark, "")
+    at = R.farthest_points(x, 40)
+    d = np.linalg.norm(x[:, None] - x[at][None], axis=2)
+    edges = {(i, j): float(np.maximum(d[:, i], d[:, j]).min()) for i in range(40) for j in range(i + 1, 40)}
+    want = R.reduce_complex(R.cliques(40, edges, 2), 1)
+    near = lambda p: (float(p[0]), p[1], -1.0 if p[2] in (INF, None) else p[2])
+    got = sorted(near((r.dim, r.birth, r.death)) for r in got.collect())
+    assert len(got) == len(want) and np.allclose(got, sorted(map(near, want)), atol=1e-5)
+    pair = persistence.witness_edges(cloud(spark, a=[[0.0, 0.0], [4.0, 0.0]]), cloud(spark, a=[[0.0, 0.0], [2.0, 0.0], [4.0, 0.0]]))
+    assert rows(pair, "dist") == [(2.0,)]
