@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -52,6 +51,9 @@ def scratch(spark: SparkSession) -> str:
 
 
 _LOCAL: list[str] = []
+#: Folders written by settle and not yet deleted.
+_SETTLED: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @atexit.register
@@ -63,14 +65,68 @@ def _sweep() -> None:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cut lineage that outlives executors."""
+    """Write df as a table in the shared folder and read it back: cut lineage that outlives executors.
+
+    The shuffle files of the write go as soon as it is done; the table goes by release.
+    """
     spark = df.sparkSession
     path = scratch(spark)
     schema = df.schema
-    df.write.parquet(path)
-    gc.collect()  # shuffle files go when the driver's references to them do
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
+    _SETTLED.append(path)
+    table = spark.read.schema(schema).parquet(path)
+    table._settled = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more; other DataFrames are left alone."""
+    for table in tables:
+        if path := getattr(table, "_settled", None):
+            _delete(table.sparkSession, path)
+
+
+def settled() -> int:
+    """How many settled tables stand: a mark for release_since."""
+    return len(_SETTLED)
+
+
+def release_since(spark: SparkSession, mark: int, but: DataFrame | None = None) -> None:
+    """Delete the tables settled after the mark was taken (but one), when what reads them has been written."""
+    for path in _SETTLED[mark:]:
+        if path != getattr(but, "_settled", None):
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if path in _SETTLED:
+        _SETTLED.remove(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """The name, with underscores before it until no table has such a column."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def new_column(df: DataFrame, name: str) -> str:
+    """The name of a column to add; a ValueError if df has it."""
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"the table has a column {name!r} already; pass another name for the result")
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
 
 
 def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filtra.llm.common import read, words_alnum
+from filtra.llm.common import new_column, read, unused, words_alnum
 
 WINDOW = 13
 #: Bytes of test text that one pass over the documents searches for; more texts take more passes.
@@ -237,7 +237,7 @@ def find_matches(
     texts have no words and no hits; items without an id or without words match
     nothing; repeated rows get the same result each.
     """
-    out = docs.withColumn(found, F.lit(None).cast(FOUND))
+    out = docs.withColumn(new_column(docs, found), F.lit(None).cast(FOUND))
     for block in benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes):
         out = _pass(out, text_col, block, found)
     return out
@@ -256,8 +256,15 @@ def contaminated(found: str = "found"):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the contaminated ones, columns as they are."""
-    return find_matches(docs, benchmark, text_col, found="_found").where(~contaminated("_found")).drop("_found")
+    """docs without those that hold WINDOW words of a test item in a row, columns as they are.
+
+    So many words are verbatim test text however long the document around them is.
+    Shorter items are common phrases as well: their matches count if they make up
+    a twentieth of the document. Rows without a text stay.
+    """
+    found = unused("found", docs)
+    out = find_matches(docs, benchmark, text_col, found=found)
+    return out.where(~(contaminated(found) | (F.col(f"{found}.longest") >= WINDOW))).drop(found)
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

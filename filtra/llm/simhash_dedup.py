@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filtra.llm.common import binary_column, map_batches, settle, words_space
+from filtra.llm.common import binary_column, map_batches, release, settle, unused, words_space
 from filtra.llm.components import connected_components
 
 BITS = 64
@@ -37,14 +37,14 @@ def simhash(text: bytes | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp): each row's SimHash as a signed long. Null and blank texts get 0."""
+    """(doc_id, key, fp): each row's text hash, and its SimHash as a signed long. Null and blank texts get 0."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([simhash(t, shingle) for t in binary_column(batch, "text")], dtype=np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
-    return map_batches(docs, cols, run, "doc_id long, fp long")
+    cols = [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")]
+    return map_batches(docs, cols, run, "doc_id long, key long, fp long")
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -108,7 +108,7 @@ def hamming_links(fps: DataFrame, radius: int = 4, block: int = 1024) -> DataFra
     ])
     rows = fps.select("fp", F.explode(keys).alias("x")).select("x.t", "x.k", "fp")
     full = rows.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rows.join(full, ["t", "k"])
+    rows = rows.join(full.hint("merge"), ["t", "k"])
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -142,40 +142,52 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 def simhash_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4
 ) -> DataFrame:
-    """(doc_id, fp, component_id) a row of docs; component_id is the smallest id reachable.
-
-    Nulls and blank texts have fingerprint zero and link like any other. Equal
-    fingerprints count once in the search, so copies cost nothing; a null id is
-    larger than any other and keeps its row. Repeated rows and extra columns change
-    nothing; an empty table gives an empty one.
+    """(doc_id, key, fp, component_id, component_key) a row of docs.
+
+    component_id is the smallest id reachable, component_key the smallest text hash
+    that stands with it. Nulls and blank texts have fingerprint zero and link like any
+    other. Equal fingerprints count once in the search, so copies cost nothing; a null
+    id is larger than any other and keeps its row; ids are cast to long (others than
+    numbers raise). Repeated rows and extra columns of any name change nothing; an
+    empty table gives an empty one.
     """
     marked = settle(fingerprints(docs, id_col, text_col, shingle))
-    fps = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(hamming_links(fps.select("fp"), radius))
-    placed = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    known = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))
+    fps = settle(marked.groupBy("fp").agg(F.min(known).alias("first")))
+    links = settle(hamming_links(fps.select("fp"), radius))
+    roots = connected_components(links)
+    placed = fps.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
     placed = placed.withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = placed.join(least, "root").select("fp", "component_id")
-    return marked.join(member, "fp").select("doc_id", "fp", "component_id")
+    least = placed.groupBy("root").agg(F.min("first").alias("first"))
+    member = settle(placed.drop("first").join(least.hint("merge"), "root").select("fp", "first"))
+    release(fps, links, roots)
+    return marked.join(member.hint("merge"), "fp").select(
+        "doc_id", "key", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("component_key")
+    )
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component: one document a group stays.
+    """One row of docs for each component, that of the smallest id (and text hash): one document a group stays.
 
-    Of repeated rows with that id one stays; rows without an id all stay. The texts
-    are only joined with the ids that go.
+    Of repeated rows with that id and text one stays; rows without an id all stay.
+    The texts move once, to be joined with the ids that stay.
     """
-    placed = settle(simhash_components(docs, id_col, text_col, radius).select("doc_id", "component_id"))
-    gone = placed.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
-    again = placed.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    again = settle(again.select(F.col("doc_id").alias("_again")))
-    if again.isEmpty():
-        return kept
-    same = F.col(id_col).cast("long") == F.col("_again")
-    return kept.join(again, same, "left_anti").unionByName(
-        kept.join(again, same, "left_semi").dropDuplicates([id_col])
-    )
+    placed = settle(simhash_components(docs, id_col, text_col, radius))
+    first = (F.col("doc_id") == F.col("component_id")) & (F.col("key") == F.col("component_key"))
+    stay = settle(placed.where(first).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")))
+    release(placed)
+    own, key, again = (unused(c, docs) for c in ("stay_id", "stay_key", "stay_n"))
+    stay = stay.select(F.col("doc_id").alias(own), F.col("key").alias(key), F.col("n").alias(again))
+    same = (F.col(id_col).cast("long") == F.col(own)) & (F.xxhash64(text_col) == F.col(key))
+
+    def those(rows: DataFrame) -> DataFrame:
+        return docs.where(F.col(id_col).isNotNull()).join(rows.hint("merge"), same, "left_semi")
+
+    without = docs.where(F.col(id_col).isNull())
+    if stay.where(F.col(again) > 1).isEmpty():
+        return docs.join(stay.hint("merge"), same, "left").where(F.col(own).isNotNull() | F.col(id_col).isNull()).drop(own, key, again)
+    twice = those(stay.where(F.col(again) > 1)).dropDuplicates([id_col, text_col])
+    return without.unionByName(those(stay.where(F.col(again) == 1))).unionByName(twice)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
