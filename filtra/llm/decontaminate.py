@@ -31,7 +31,7 @@ class TestBlock:
         self.word: dict[bytes, int] = {}
         tokens: list[int] = []
         start, size, row = [], [], []
-        self.items = [str(i) for i, _ in items]
+        self.items = [i if i is None else str(i) for i, _ in items]
         for r, (_, text) in enumerate(items):
             ids = [self.word.setdefault(w, len(self.word) + 1) for w in words_alnum((text or "").encode())]
             least = min(window, len(ids))
@@ -106,14 +106,21 @@ def extend(tokens: np.ndarray, at: np.ndarray, suffix: np.ndarray, block: TestBl
     return length
 
 
-def match_shard(docs: list[np.ndarray], block: TestBlock) -> list[list[tuple[int, int, int, int]]]:
-    """For each document of a shard (its words' numbers): (start, window, item row, longest match) of every
-    occurrence of a window.
+#: Occurrences that are looked at together, which bounds a task's memory on repetitive texts.
+CHUNK = 1 << 21
 
-    Only stretches of at least the shortest window's length whose words all occur in
-    the block enter the suffix array: any other suffix agrees with no window.
+
+def match_shard(docs: list[np.ndarray], block: TestBlock) -> list[dict]:
+    """For each document of a shard (its words' numbers): spans of hit words, item rows, and the longest match.
+
+    The longest match is (words, place, item row), the first of the longest. Only
+    stretches of at least the shortest window's length whose words all occur in the
+    block enter the suffix array: any other suffix agrees with no window. Windows of
+    equal words count once, their occurrences are summed up in chunks, and only
+    matches that cannot be extended to the left are followed to the right, so that
+    texts of a few words over and over stay within bounds.
     """
-    out: list[list[tuple[int, int, int, int]]] = [[] for _ in docs]
+    out: list[dict] = [{"spans": [], "rows": set(), "longest": (0, 0, -1)} for _ in docs]
     if not block.least or not docs:
         return out
     gap = np.zeros(1, np.int32)
@@ -129,18 +136,53 @@ def match_shard(docs: list[np.ndarray], block: TestBlock) -> list[list[tuple[int
     tokens = known[place]
     order = suffix_array(tokens)
     lo, hi = search(tokens, order, block)
-    count = hi - lo
-    suffix = np.repeat(np.arange(len(lo)), count)
-    at = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - lo, count)]
-    longest = extend(tokens, at, suffix, block)
+    hit = np.flatnonzero(hi > lo)
+    if not len(hit):
+        return out
     first = np.cumsum([0, *(len(d) + 1 for d in docs)])
-    owner = np.searchsorted(first, place[at], side="right") - 1
-    start = place[at] - first[owner]
-    for d, *found in zip(*(x.tolist() for x in (owner, start, block.size[suffix], block.row[suffix], longest))):
-        out[d].append(tuple(found))
+    owner = np.searchsorted(first, place, side="right") - 1
+
+    windows, inverse = np.unique(np.stack((lo[hit], hi[hit], block.size[hit]), 1), axis=0, return_inverse=True)
+    edges, pairs = np.zeros(len(tokens) + 1, np.int64), []
+    for w, at in _chunks(order, windows[:, 0], windows[:, 1]):
+        np.add.at(edges, at, 1)
+        np.add.at(edges, at + windows[w, 2], -1)
+        pairs.append(np.unique(owner[at] * len(windows) + w))
+    covered = place[np.flatnonzero(np.cumsum(edges)[:-1] > 0)]
+    cut = np.flatnonzero(np.diff(covered) != 1) + 1
+    for a, b in zip(covered[np.concatenate(([0], cut))], covered[np.concatenate((cut - 1, [-1]))]):
+        d = int(np.searchsorted(first, a, side="right")) - 1
+        out[d]["spans"].append((int(a - first[d]), int(b - first[d]) + 1))
+    rows_of = [np.unique(block.row[hit[inverse == w]]).tolist() for w in range(len(windows))]
+    for d, w in zip(*np.divmod(np.unique(np.concatenate(pairs)), len(windows))):
+        out[d]["rows"].update(rows_of[w])
+
+    before = np.concatenate((gap, tokens))  # the word before each place
+    test_before = np.concatenate((gap, block.tokens))
+    for s, at in _chunks(order, lo[hit], hi[hit]):
+        s = hit[s]
+        mine, theirs = before[at], test_before[block.start[s]]
+        whole = (mine != theirs) | (mine == 0)
+        at, s = at[whole], s[whole]
+        length = extend(tokens, at, s, block)
+        rank = np.lexsort((block.row[s], at, -length, owner[at]))
+        at, s, length = at[rank], s[rank], length[rank]
+        for i in np.unique(owner[at], return_index=True)[1].tolist():
+            d = int(owner[at[i]])
+            found = (int(length[i]), int(place[at[i]] - first[d]), int(block.row[s[i]]))
+            out[d]["longest"] = min(out[d]["longest"], found, key=lambda x: (-x[0], x[1], x[2]))
     return out
 
 
+def _chunks(order: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number of the interval, place) of all places in the intervals of `order`, at most CHUNK together."""
+    total = np.cumsum(hi - lo)
+    for a in range(0, int(total[-1]) if len(total) else 0, CHUNK):
+        n = np.arange(a, min(a + CHUNK, int(total[-1])))
+        which = np.searchsorted(total, n, side="right")
+        yield which, order[lo[which] + n - (total[which] - (hi - lo)[which])]
+
+
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     merged: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -162,20 +204,21 @@ _FOUND = pa.struct([
 ])
 
 
-def _add(was: dict | None, n_words: int, hits: list[tuple[int, int, int, int]], block: TestBlock) -> dict:
-    """What earlier blocks found in a document, and this one's hits."""
+def _add(was: dict | None, n_words: int, found: dict, block: TestBlock) -> dict:
+    """What earlier blocks found in a document, and what this one finds."""
     was = was or {"spans": [], "items": [], "longest": 0, "longest_at": None, "longest_item": None}
-    best = [(was["longest"], -(was["longest_at"] or 0), was["longest_item"])]
-    best += [(n, -p, block.items[r]) for p, _, r, n in hits]
-    length, at, item = max(best, key=lambda x: x[:2])
-    spans = [(s["start"], s["stop"]) for s in was["spans"]] + [(p, p + w) for p, w, _, _ in hits]
+    length, at, row = found["longest"]
+    best = (was["longest"], was["longest_at"], was["longest_item"])
+    if length and (-length, at) < (-best[0], best[1] or 0):
+        best = (length, at, block.items[row])
+    spans = [(s["start"], s["stop"]) for s in was["spans"]] + found["spans"]
     return {
         "n_words": n_words,
         "spans": [{"start": a, "stop": b} for a, b in _merge(spans)],
-        "items": sorted({*was["items"], *(block.items[r] for _, _, r, _ in hits)}),
-        "longest": length,
-        "longest_at": -at if length else None,
-        "longest_item": item,
+        "items": sorted({*was["items"], *(block.items[r] for r in found["rows"])} - {None}),
+        "longest": best[0],
+        "longest_at": best[1],
+        "longest_item": best[2],
     }
 
 
@@ -188,7 +231,7 @@ def _pass(docs: DataFrame, text_col: str, block: TestBlock, found: str) -> DataF
         block = shipped.value
         for batch in batches:
             texts = batch.column(text_at).cast(pa.large_binary())
-            hits: list[list[tuple[int, int, int, int]]] = []
+            hits: list[dict] = []
             sizes: list[int] = []
             shard, size = [], 0
             for text in texts:
@@ -208,7 +251,7 @@ def _pass(docs: DataFrame, text_col: str, block: TestBlock, found: str) -> DataF
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[TestBlock]:
     """The test items in blocks of bounded size, read part by part (one at least, even if empty)."""
     items, size, any_ = [], 0, False
-    for row in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).where(F.col(id_col).isNotNull()).toLocalIterator():
+    for row in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
         items.append((row[0], row[1]))
         size += len(row[1] or "")
         if size >= block_bytes:
@@ -234,8 +277,10 @@ def find_matches(
     Windows are `window` consecutive words of an item, or the whole of a shorter one.
     No shuffle: each Arrow batch of documents is a run of shards, and the test items
     are searched for in blocks, one pass over the documents a block. Null and empty
-    texts have no words and no hits; items without an id or without words match
-    nothing; repeated rows get the same result each.
+    texts have no words and no hits; items without words match nothing, and items
+    without an id count for the hit words but are no item in the list; repeated rows
+    get the same result each. Other columns stay as they are; one called as `found`
+    raises a ValueError. Empty tables give empty ones, an empty benchmark no hits.
     """
     out = docs.withColumn(new_column(docs, found), F.lit(None).cast(FOUND))
     for block in benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filtra.llm.common import read, words_alnum
+from filtra.llm.common import columns_of, new_column, read, words_alnum
 
 #: Phrases whose every place counts for the base labels.
 BASE = {
@@ -58,9 +58,11 @@ def _phrase(words: list[bytes], phrase: list[bytes]) -> list[int]:
 class LicenceIndex:
     """Templates and base phrases by word and place, with each word's inverse document frequency.
 
-    postings: word -> (template, place). anchors: for each entry, its words by falling
-    idf; the first is looked up in a file, and each place where it stands gives one
-    candidate start, which the other postings must confirm.
+    postings: word -> (entry, place) for the places of an entry that must hold: the
+    words of a template's key phrases, all words of a base phrase. A file's licence
+    words are looked up by falling idf, so an entry is first met at its rarest word,
+    which implies its starts; every further posting is intersected with them by its
+    relative place.
     """
 
     def __init__(self, df: dict[bytes, int], n_docs: int, templates=None, base=None):
@@ -71,15 +73,37 @@ class LicenceIndex:
         self.entries += [(label, words_alnum(t.encode()), [words_alnum(k.encode()) for k in keys]) for label, t, keys in templates]
         self.vocabulary = {w for _, words, _ in self.entries for w in words}
         self.idf = {w: math.log((n_docs + 1) / (df.get(w, 0) + 0.5)) for w in self.vocabulary}
-        self.anchors: dict[bytes, list[tuple[int, int]]] = {}
-        self.weight, self.keys = [], []
-        for e, (label, words, keys) in enumerate(self.entries):
+        self.rank = {w: i for i, w in enumerate(sorted(self.vocabulary, key=lambda w: (-self.idf[w], w)))}
+        self.postings: dict[bytes, list[tuple[int, int]]] = {}
+        self.weight, self.need, self.rarest = [], [], []
+        for e, (_, words, keys) in enumerate(self.entries):
             self.weight.append(sum(max(self.idf[w], 0.0) for w in words) or 1.0)
-            places = [i for k in keys or () for p in _phrase(words, k)[:1] for i in range(p, p + len(k))]
-            self.keys.append(sorted(set(places)))
-            must = self.keys[-1] or range(len(words))  # a base phrase must stand whole
-            anchor = max(must, key=lambda i: (self.idf[words[i]], -i))
-            self.anchors.setdefault(words[anchor], []).append((e, anchor))
+            places = {i for k in keys or () for p in _phrase(words, k)[:1] for i in range(p, p + len(k))}
+            must = sorted(places or range(len(words)))  # a base phrase must stand whole
+            for i in must:
+                self.postings.setdefault(words[i], []).append((e, i))
+            self.need.append(len(must))
+            self.rarest.append(min((words[i] for i in must), key=self.rank.__getitem__, default=b""))
+
+    def starts(self, places: dict[bytes, list[int]]) -> dict[int, list[int]]:
+        """entry -> the starts at which all its postings stand, from the places of a file's licence words."""
+        alive: dict[int, set[int]] = {}
+        met: Counter[int] = Counter()
+        for w in sorted(places.keys() & self.postings.keys(), key=self.rank.__getitem__):
+            here = places[w]
+            at = set(here)
+            for e, offset in self.postings[w]:
+                if e not in met:
+                    if w == self.rarest[e]:  # else a rarer word of it is missing
+                        alive[e], met[e] = {p - offset for p in here}, 1
+                elif e in alive:
+                    left = {s for s in alive[e] if s + offset in at}
+                    met[e] += 1
+                    if left:
+                        alive[e] = left
+                    else:
+                        del alive[e]
+        return {e: sorted(s) for e, s in alive.items() if met[e] == self.need[e]}
 
     def scan(self, words: list[bytes]) -> dict:
         """Base places, and templates whose key phrases all stand at their relative places."""
@@ -89,26 +113,21 @@ class LicenceIndex:
                 places.setdefault(w, []).append(i)
         n, base_at, spans = len(words), [], []
         base_labels, labels, score = set(), set(), 0.0
-        for w in sorted(places.keys() & self.anchors.keys(), key=lambda w: (-self.idf[w], w)):
-            for e, offset in self.anchors[w]:
-                label, entry, _ = self.entries[e]
-                for p in places[w]:
-                    start = p - offset
-                    if e < self.n_base:
-                        if start >= 0 and words[start : start + len(entry)] == entry:
-                            base_at.append(start)
-                            base_labels.add(label)
-                            labels.add(label)
-                            score = 1.0
-                        continue
-                    if any(not 0 <= start + i < n or words[start + i] != entry[i] for i in self.keys[e]):
-                        continue
-                    covered = sum(max(self.idf[x], 0.0) for i, x in enumerate(entry) if 0 <= start + i < n and words[start + i] == x)
-                    share = min(1.0, covered / self.weight[e])
-                    if share >= LEAST_COVER:
-                        labels.add(label)
-                        score = max(score, share)
-                        spans.append((label, max(start, 0), min(start + len(entry), n), share))
+        for e, starts in self.starts(places).items():
+            label, entry, _ = self.entries[e]
+            if e < self.n_base:
+                base_at += starts
+                base_labels.add(label)
+                labels.add(label)
+                score = 1.0
+                continue
+            for start in starts:
+                covered = sum(max(self.idf[x], 0.0) for i, x in enumerate(entry) if 0 <= start + i < n and words[start + i] == x)
+                share = min(1.0, covered / self.weight[e])
+                if share >= LEAST_COVER:
+                    labels.add(label)
+                    score = max(score, share)
+                    spans.append((label, max(start, 0), min(start + len(entry), n), share))
         return {
             "n_words": n,
             "n_base": len(base_at),
@@ -153,14 +172,16 @@ def scan_licences(docs: DataFrame, text_col: str = "text", out: str = "scan", te
 
     One pass counts in how many documents each licence word stands; a second looks
     up each file's rarest licence words, takes the template starts that they imply,
-    and keeps those whose key phrases stand at their places. No shuffle of texts.
-    Null and empty texts have no words, no labels and score 0; repeated rows get the
-    same result each; other columns stay as they are.
+    intersects them with the other words' places, and keeps templates whose key
+    phrases stand whole. No shuffle of texts. Null and empty texts have no words, no
+    labels and score 0; repeated rows get the same result each; other columns stay as
+    they are, and one called as `out` raises a ValueError. An empty table gives an
+    empty one.
     """
     index = LicenceIndex({}, 0, templates, base)
     index = LicenceIndex(*word_frequencies(docs, index.vocabulary, text_col), templates, base)
-    wide = docs.withColumn(out, F.lit(None).cast(SCAN))
-    at, text_at = wide.columns.index(out), wide.columns.index(text_col)
+    wide = docs.select(*columns_of(docs), F.lit(None).cast(SCAN).alias(new_column(docs, out)))
+    at, text_at = len(docs.columns), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,5 +194,3 @@ def scan_licences(docs: DataFrame, text_col: str = "text", out: str = "scan", te
 def op1_licences(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return scan_licences(docs).select("doc_id", "scan.*").drop("spans")
-
-

@@ -43,7 +43,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def systematic_copies(
     docs: DataFrame, size: Column, source_col: str = "source", id_col: str = "doc_id", seed: str = "mix"
 ) -> DataFrame:
-    """docs with size, source_size, target and copies (columns prefixed _mix_).
+    """(row, size, source_size, target, copies): each row of docs as a struct, whatever its columns are called.
 
     Within a source every document expects target / source_size copies. Documents
     stand in the order of size and id, the expected copies are summed along it, one
@@ -56,9 +56,8 @@ def systematic_copies(
     partitions, known from one count a partition and source. Empty sources get no
     copies; null sources form one source; null texts have size 0.
     """
-    names = docs.columns
     rows = docs.select(
-        *[F.col(f"`{c}`") for c in names],
+        F.struct("*").alias("row"),
         size.cast("long").alias("_mix_size"),
         F.col(source_col).alias("_mix_source"),
         F.col(id_col).alias("_mix_id"),
@@ -87,28 +86,29 @@ def systematic_copies(
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("="), F.col("_mix_source")), F.lit("null")))
     start = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     copies = F.floor((rank + 1) * each + start) - F.floor(rank * each + start)
-    return rows.withColumn("_mix_copies", copies).select(
-        *[F.col(f"`{c}`") for c in names], "_mix_size", "_mix_source_size", "_mix_target", "_mix_copies"
-    )
+    return rows.select(
+        "row", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"),
+        F.col("_mix_target").alias("target"), copies.alias("copies"),
+    )
 
 
 def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """Each row of docs as often as its copies, columns as they are."""
-    out = systematic_copies(docs, n_words(F.col(text_col)), source_col, id_col)
-    again = F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies").cast("int"))).alias("_mix_one")
-    return out.where("_mix_copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns], again).drop("_mix_one")
+    out = systematic_copies(docs, n_words(F.col(text_col)), source_col, id_col).where("copies > 0")
+    again = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("one")
+    return out.select("row", again).select("row.*")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
     out = systematic_copies(docs, F.col("size"))
     return out.select(
-        "doc_id",
+        "row.doc_id",
         "size",
-        F.col("_mix_source_size").alias("source_size"),
-        F.col("_mix_target").alias("target"),
-        (F.col("_mix_copies") * F.col("size")).cast("long").alias("taken"),
-        F.col("_mix_copies").cast("long").alias("copies"),
+        "source_size",
+        "target",
+        (F.col("copies") * F.col("size")).cast("long").alias("taken"),
+        F.col("copies").cast("long").alias("copies"),
     )
 
 

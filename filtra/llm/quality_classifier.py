@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filtra.llm.common import held_out, read, words_space
+from filtra.llm.common import columns_of, held_out, new_column, read, words_space
 
 #: Labelled rows that the machine is fitted on, at most (in expectation).
 SAMPLE_ROWS = 12_000
@@ -143,13 +143,21 @@ def train_machine(
     return FactorMachine(bias, weight, factor)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, rows: int = SAMPLE_ROWS) -> FactorMachine:
-    """Fit on at most about `rows` labelled documents for whose _id `train` holds, chosen by a hash of the id."""
+def fit(
+    docs: DataFrame, labels: DataFrame, train: Column, rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
+    text_col: str = "text", chars_col: str = "n_chars",
+) -> FactorMachine:
+    """Fit on at most about `rows` labelled documents for whose _id `train` holds, chosen by a hash of the id.
+
+    Of several labels of an id the smallest counts. Without labelled rows the machine
+    gives one half to every document.
+    """
+    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(chars_col).cast("long").alias("n_chars"))
     few = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label")).where("_id IS NOT NULL AND label IN (0, 1)")
     few = few.where(train).groupBy("_id").agg(F.min("label").alias("label"))
     share = min(1.0, rows / max(1, few.count()))
     few = few.where(F.pmod(F.xxhash64("_id", F.lit("quality")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    picked = docs.join(F.broadcast(few), docs["doc_id"] == few["_id"])  # bounded by `rows`
+    picked = docs.join(F.broadcast(few), "_id")  # bounded by `rows`
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, rows: int = SAMPLE_RO
                 names=["id", "at", "value", "label"],
             )
 
-    table = picked.select("_id", "text", F.col("n_chars").cast("long"), "label")
+    table = picked.select("_id", "text", "n_chars", "label")
     table = table.mapInArrow(run, "id long, at binary, value binary, label int").toArrow()
     got = sorted(zip(*(table.column(c).to_pylist() for c in ("id", "at", "value", "label"))))
     data = [(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(v, "<f4")) for _, a, v, _ in got]
@@ -170,11 +178,12 @@ def score_quality(docs: DataFrame, machine: FactorMachine, text_col: str = "text
     """docs with a double column `out`, the probability that the label is 1. No shuffle.
 
     Null and empty texts have no words but have structure bins and a score; a null
-    n_chars has a bin of its own.
+    n_chars has a bin of its own. Other columns stay as they are; one called as `out`
+    raises a ValueError.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(machine)  # a fixed number of weights
-    wide = docs.withColumn(out, F.lit(None).cast("double"))
-    at, text_at, chars_at = (wide.columns.index(c) for c in (out, text_col, chars_col))
+    wide = docs.select(*columns_of(docs), F.lit(None).cast("double").alias(new_column(docs, out)))
+    at, text_at, chars_at = len(docs.columns), docs.columns.index(text_col), docs.columns.index(chars_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shipped.value

@@ -11,14 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filtra.llm.common import read, settle, words_alnum
+from filtra.llm.common import columns_of, new_column, read, release, settle, unused, words_alnum
 
 #: A run has as many consecutive sentences as it takes to reach this many words.
 RUN_WORDS = 20
-_SENTENCE = re.compile(rb"[^\s][^\n]*?(?:[.!?]+(?=\s|\Z)|(?=\n)|\Z)")
+_STOP = re.compile(rb"[.!?](?=\s|\Z)|\n|\Z")
+_LEAD = re.compile(rb"\s*")
 _SEED = 42
-#: A place is one long: 24 bits of the text's hash, 35 of the first sentence, 5 of the number of sentences less one.
-_TEXT_BITS, _START_BITS, _LENGTH_BITS = 24, 35, 5
+#: A place is one long: the first sentence, and in the low bits the number of sentences less one.
+_LENGTH_BITS = 5
 _NO_ID = (1 << 63) - 1
 
 
@@ -27,11 +28,16 @@ def sentences(text: bytes | None) -> list[tuple[int, int, bytes, int]]:
 
     A sentence ends at a line end, or at . ! ? before white space. Byte offsets.
     """
-    out = []
-    for m in _SENTENCE.finditer(text or b""):
-        words = words_alnum(m[0])
-        if words:
-            out.append((m.start(), m.end(), b" ".join(words), len(words)))
+    text = text or b""
+    out, start = [], 0
+    for m in _STOP.finditer(text):
+        start = _LEAD.match(text, start).end()
+        stop = m.start() + (m[0] not in (b"\n", b""))
+        if stop > start:
+            words = words_alnum(text[start:stop])
+            if words:
+                out.append((start, stop, b" ".join(words), len(words)))
+            start = stop
     return out
 
 
@@ -46,53 +52,47 @@ def runs(sizes: list[int], least: int = RUN_WORDS) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def text_key(text: bytes) -> int:
-    return xxhash.xxh64_intdigest(text, _SEED) & ((1 << _TEXT_BITS) - 1)
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def span_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(hash, doc, place) of every run of every text."""
+    """(hash, doc, key, place) of every run of every text; key is a hash of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            hashes, owners, places = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
-                raw = text.as_py()
-                found = sentences(raw)
-                if not found:
-                    continue
+            hashes, owners, keys, places = [], [], [], []
+            for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary())):
+                found = sentences(text.as_py())
                 part = [s[2] for s in found]
                 spans = runs([s[3] for s in found])
-                base = text_key(raw) << (_START_BITS + _LENGTH_BITS)
                 hashes += [digest(b" ".join(part[i:j]), _SEED) for i, j in spans]
-                places += [base | i << _LENGTH_BITS | j - i - 1 for i, j in spans]
+                places += [i << _LENGTH_BITS | j - i - 1 for i, j in spans]
                 owners += [doc] * len(spans)
+                keys += [key] * len(spans)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(owners, pa.int64()), pa.array(np.array(places, np.uint64).view(np.int64))],
-                names=["hash", "doc", "place"],
+                [pa.array(np.array(hashes, np.uint64).view(np.int64)), *(pa.array(x, pa.int64()) for x in (owners, keys, places))],
+                names=["hash", "doc", "key", "place"],
             )
 
-    cols = [F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col)]
-    return docs.select(*cols).mapInArrow(run, "hash long, doc long, place long")
+    cols = [F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), F.xxhash64(text_col), F.col(text_col)]
+    return docs.select(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).mapInArrow(run, "hash long, doc long, key long, place long")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, place, first_doc): every occurrence of a repeated run but the first, by id and place.
+    """(doc, key, places, first_docs): a text's occurrences of repeated runs but the first, by id, text hash and place.
 
     The first occurrence is a partial aggregate, and the join's other side has one
     row a hash, so that a run which stands in a third of all documents is split
     among tasks. No pairs of occurrences are made.
     """
     spans = settle(span_hashes(docs, id_col, text_col))
-    first = spans.groupBy("hash").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1").select("hash", F.col("first.doc").alias("first_doc"), F.col("first.place").alias("first_place"))
-    again = spans.join(first, "hash").where("doc <> first_doc OR place <> first_place")
-    return again.select("doc", "place", "first_doc")
+    rank = F.struct("doc", "key", "place")
+    first = spans.groupBy("hash").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # a table of its own, so that the join may split the rows of a very common run
+    first = settle(first.select("hash", F.col("first.doc").alias("d"), F.col("first.key").alias("k"), F.col("first.place").alias("p")))
+    again = spans.join(first.hint("merge"), "hash").where("doc <> d OR key <> k OR place <> p")
+    covered = again.groupBy("doc", "key").agg(F.collect_set("place").alias("places"), F.collect_set("d").alias("first_docs"))
+    covered = settle(covered)
+    release(spans, first)
+    return covered
 
 
 def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "dedup") -> DataFrame:
@@ -102,22 +102,20 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     before them, and with their line end if they are the whole line; all other
     characters stay. First is the smallest (id, place);
     rows that repeat both id and text are one document; rows without an id come last.
-    Null stays null; texts of fewer than RUN_WORDS words have no run.
+    Null stays null; texts of fewer than RUN_WORDS words have no run; ids are cast to
+    long (others than numbers raise). Other columns stay as they are whatever their
+    names; one called as `out` raises a ValueError. An empty table gives an empty one.
     """
-    again = repeated_spans(docs, id_col, text_col)
-    key = F.shiftrightunsigned("place", _START_BITS + _LENGTH_BITS)
-    covered = again.groupBy(F.col("doc").alias("_doc"), key.alias("_key")).agg(
-        F.collect_set("place").alias("_places"), F.collect_set("first_doc").alias("_first")
-    )
-    names = docs.columns
-    wide = docs.withColumns({
-        "_d": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)),
-        "_k": F.xxhash64(text_col).bitwiseAND(F.lit((1 << _TEXT_BITS) - 1)),
-    })
-    wide = wide.join(covered, (F.col("_d") == F.col("_doc")) & (F.col("_k") == F.col("_key")), "left")
+    new_column(docs, out)
+    covered = repeated_spans(docs, id_col, text_col)
+    row = F.struct("*").alias("row")
+    wide = docs.select(row, F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(text_col).alias("k"))
+    wide = wide.join(covered.hint("merge"), (F.col("d") == F.col("doc")) & (F.col("k") == F.col("key")), "left")
     kind = "struct<text:string,n_sentences:bigint,n_removed:bigint,n_removed_words:bigint,first_docs:array<bigint>>"
-    wide = wide.select(*[F.col(f"`{c}`") for c in names], "_places", "_first", F.lit(None).cast(kind).alias(out))
+    names = docs.columns
+    wide = wide.select("row.*", F.col("places").alias(unused("places", docs)), F.col("first_docs").alias(unused("first_docs", docs)))
     text_at, width = names.index(text_col), len(names)
+    schema = docs.select(*columns_of(docs), F.lit(None).cast(kind).alias(out)).schema
     struct = pa.struct([
         ("text", pa.string()), ("n_sentences", pa.int64()), ("n_removed", pa.int64()),
         ("n_removed_words", pa.int64()), ("first_docs", pa.list_(pa.int64())),
@@ -131,7 +129,7 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             cols = [batch.column(i) for i in range(width)] + [pa.array(rows, struct)]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, out])
 
-    return wide.mapInArrow(run, wide.drop("_places", "_first").schema)
+    return wide.mapInArrow(run, schema)
 
 
 def _clean(text: bytes | None, places: list[int] | None, first: list[int] | None) -> dict:
@@ -140,7 +138,7 @@ def _clean(text: bytes | None, places: list[int] | None, first: list[int] | None
     found = sentences(text)
     gone = set()
     for p in places or ():
-        start = p >> _LENGTH_BITS & ((1 << _START_BITS) - 1)
+        start = p >> _LENGTH_BITS
         gone.update(range(start, start + (p & ((1 << _LENGTH_BITS) - 1)) + 1))
     left, at = b"", 0
     for i in sorted(gone):

@@ -12,16 +12,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filtra.llm.common import held_out, read, words_alnum
+from filtra.llm.common import columns_of, held_out, new_column, read, words_alnum
 
 #: Labelled rows that the weights and the calibration are fitted on, at most (in expectation).
 SAMPLE_ROWS = 20_000
-#: The Dirichlet prior's size as a share of the sample's words, least toxic sample documents of a word, least z.
+#: The Dirichlet prior's size as a share of the sample's words, least toxic sample documents of a toxic word, least z.
 PRIOR_SHARE, LEAST_DOCS, LEAST_Z = 0.05, 3, 3.5
-#: A word counts whole and by its beginnings of so many bytes, for inflected languages.
-STEMS = range(4, 10)
-#: What a word without a weight takes from a segment, and the limits of a weight.
-DRIFT, MOST_WEIGHT = 0.5, 8.0
+#: Least places in the sample of a word that counts as clean, and the beginnings a word has, in bytes, cut between characters.
+LEAST_CLEAN, STEMS = 20, range(4, 10)
+#: What every word takes from a segment beside its log-odds, so that chance segments stay short.
+DRIFT = 0.5
 #: Expected number of chance segments below which a passage is significant.
 LEAST_E = 0.05
 
@@ -32,7 +32,7 @@ def segments(scores: list[tuple[int, float]], drift: float = DRIFT) -> list[tupl
     scores: (place, weight) of the words that have a weight, in order; each other
     word scores -drift. A run of such words enters as one negative stretch.
     """
-    out: list[list[float]] = []  # left sum, right sum, start, stop
+    out: list[list[float]] = []  # left sum, right sum, start, stop, the last piece before with a smaller left sum
     total, last = 0.0, 0
     for place, weight in scores:
         total -= drift * (place - last)
@@ -40,17 +40,24 @@ def segments(scores: list[tuple[int, float]], drift: float = DRIFT) -> list[tupl
         left, total = total, total + weight
         if weight <= 0:
             continue
-        piece = [left, total, place, place + 1]
+        piece = [left, total, place, place + 1, -1]
+        j = len(out) - 1
         while True:
-            j = len(out) - 1
             while j >= 0 and out[j][0] >= piece[0]:
-                j -= 1
+                j = out[j][4]  # all between have larger left sums still
             if j < 0 or out[j][1] >= piece[1]:
+                piece[4] = j
                 out.append(piece)
                 break
-            piece = [out[j][0], piece[1], out[j][2], piece[3]]
-            del out[j:]
-    return [(r - l, int(a), int(b)) for l, r, a, b in out]
+            piece = [out[j][0], piece[1], out[j][2], piece[3], -1]
+            j, gone = out[j][4], j
+            del out[gone:]
+    return [(r - l, int(a), int(b)) for l, r, a, b, _ in out]
+
+
+def stems(word: bytes) -> list[bytes]:
+    """The word's beginnings, with a * behind, that end between two characters."""
+    return [word[:k] + b"*" for k in STEMS if k < len(word) and word[k] & 0xC0 != 0x80]
 
 
 @dataclass
@@ -74,7 +81,7 @@ class ToxicityModel:
         for i, w in enumerate(words):
             s = get(w)
             if s is None and w[:short] in heads:
-                s = next((x for k in reversed(STEMS) if len(w) > k and (x := get(w[:k] + b"*")) is not None), None)
+                s = next((x for t in reversed(stems(w)) if (x := get(t)) is not None), None)
             if s is not None:
                 out.append((i, s))
         return out
@@ -129,7 +136,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, rows: int) -> DataFrame:
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, train: Column, rows: int, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """(text, label, part): labelled training rows, chosen by a hash of the id so that at most `rows` are expected.
 
     One label an id (the largest of several); part 0 or 1 is a second hash bit.
@@ -138,17 +147,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     few = few.where(train).groupBy("_id").agg(F.max("label").alias("label"))
     share = min(1.0, rows / max(1, few.count()))
     few = few.where(F.pmod(F.xxhash64("_id", F.lit(label)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    picked = docs.join(F.broadcast(few), docs["doc_id"] == few["_id"])  # bounded by `rows`
+    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "_id")  # bounded by `rows`
     return picked.select("text", "label", F.pmod(F.xxhash64("_id", F.lit("part")), F.lit(2)).cast("int").alias("part"))
 
 
 def pieces(words: list[bytes], vocabulary: set[bytes] | None, heads: frozenset[bytes] | None) -> Counter:
-    """How often each word and each stem of a word stands in a text; only those of the vocabulary if there is one."""
+    """How often each word and each stem of a word stands in a text; only those of the vocabulary if there is one.
+
+    heads: the first bytes of the vocabulary's stems.
+    """
     out: Counter[bytes] = Counter()
-    if heads is not None:
-        words = [w for w in words if w[: STEMS[0]] in heads]
     for w, c in Counter(words).items():
-        for piece in (w, *(w[:k] + b"*" for k in STEMS if k < len(w))):
+        for piece in (w, *(stems(w) if heads is None or w[: STEMS[0]] in heads else ())):
             if vocabulary is None or piece in vocabulary:
                 out[piece] += c
     return out
@@ -157,7 +167,7 @@ def pieces(words: list[bytes], vocabulary: set[bytes] | None, heads: frozenset[b
 def _counts(texts: DataFrame, vocabulary: set[bytes] | None, by_label: bool) -> DataFrame:
     """(word, kind, n, docs): words by label (or kind 0), a row a batch and word before the sum; word null: all."""
 
-    heads = None if vocabulary is None else frozenset(w[: STEMS[0]] for w in vocabulary)
+    heads = None if vocabulary is None else frozenset(w[: STEMS[0]] for w in vocabulary if w.endswith(b"*"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,34 +189,44 @@ def _counts(texts: DataFrame, vocabulary: set[bytes] | None, by_label: bool) ->
     return rows.groupBy("word", "kind").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, rows: int = SAMPLE_ROWS) -> ToxicityModel:
+def fit(
+    docs: DataFrame, labels: DataFrame, train: Column, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text"
+) -> ToxicityModel:
     """Learn from the labelled rows where `train` (on _id) holds; word frequencies come from all documents.
 
-    Half of the sample gives the words' counts by label; the words that are toxic
-    beyond chance are then counted in the whole corpus, which is the prior of their
-    log-odds and the background of lambda. The other half calibrates: clean documents
+    Half of the sample gives the words' counts by label; the words (and stems) that are
+    toxic beyond chance, and the words that stand often enough to be known as clean,
+    are then counted in the whole corpus, which is the prior of their log-odds and the
+    background of lambda. A toxic word scores its log-odds, a clean one its log-odds
+    less DRIFT, and a word of which nothing is known -DRIFT. The other half calibrates: clean documents
     give K, and a logistic curve over the two features gives the probability.
     """
-    sample = labelled_sample(docs, labels, "toxic", train, rows)
+    sample = labelled_sample(docs, labels, "toxic", train, rows, id_col, text_col)
     table = _counts(sample.where("part = 0").select("text", "label"), None, True).groupBy("word").agg(
         *[F.sum(F.when(F.col("kind") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in (0, 1) for c in ("n", "docs")]
     )
-    # a word in so few toxic documents has no weight; the rest is bounded by the sample's size
-    found = [tuple(r) for r in table.where(f"word IS NULL OR docs1 >= {LEAST_DOCS} AND docs1 > docs0").select("word", "n0", "n1").collect()]
-    n_clean, n_toxic = next(((c, t) for w, c, t in found if w is None), (0, 0))
+    # a word in so few toxic documents is not toxic; the rest is bounded by the sample's size
+    some = f"word IS NULL OR docs1 >= {LEAST_DOCS} AND docs1 > docs0 OR n0 + n1 >= {LEAST_CLEAN} AND substring(word, -1) <> X'2A'"
+    found = [tuple(r) for r in table.where(some).select("word", "n0", "n1", "docs0", "docs1").collect()]
+    n_clean, n_toxic = next(((c, t) for w, c, t, *_ in found if w is None), (0, 0))
     model = ToxicityModel()
-    found = [(bytes(w), c, t) for w, c, t in found if w is not None]
-    found = [x for x in found if x[2] * n_clean > 2 * x[1] * n_toxic]
-    seen = {r["word"] and bytes(r["word"]): r["n"] for r in _counts(docs.select("text"), {w for w, _, _ in found}, False).collect()}
+    found = [(bytes(w), *x) for w, *x in found if w is not None]
+    toxic = [x[:3] for x in found if x[4] >= LEAST_DOCS and x[4] > x[3] and x[2] * n_clean > 2 * x[1] * n_toxic]
+    clean = [x[:3] for x in found if x[1] + x[2] >= LEAST_CLEAN and not x[0].endswith(b"*")]
+    seen = {r["word"] and bytes(r["word"]): r["n"] for r in _counts(docs.select(text_col), {x[0] for x in (*toxic, *clean)}, False).collect()}
     total = max(1, seen.pop(None, 1))
-    counts = {w: (c, t) for w, c, t in found}
+    counts = {w: (c, t) for w, c, t in toxic}
     same = {s for w, x in counts.items() for k in STEMS if counts.get(s := w[:k] + b"*") == x and s != w}
-    found = [x for x in found if x[0] not in same]  # of pieces that stand for the same words the longest counts
-    for w, c, t in sorted(found, key=lambda x: (len(x[0]), x[0])):  # stems before what begins with them
+    toxic = [x for x in toxic if x[0] not in same]  # of pieces that stand for the same words the longest counts
+    for w, c, t in sorted(toxic, key=lambda x: (len(x[0]), x[0])):  # stems before what begins with them
         d, z = log_odds(t, c, n_toxic, n_clean, seen.get(w, 0) / total)
-        stems = [model.weight.get(w[:k] + b"*", -math.inf) for k in STEMS if k < len(w.rstrip(b"*"))]
-        if z >= LEAST_Z and d > max(DRIFT, *(x + 0.5 for x in stems), DRIFT):
-            model.weight[w] = min(d, MOST_WEIGHT)
+        below = [model.weight.get(w[:k] + b"*", -math.inf) for k in STEMS if k < len(w.rstrip(b"*"))]
+        if z >= LEAST_Z and d > max(DRIFT, *(x + 0.5 for x in below), DRIFT):
+            model.weight[w] = d
+    toxic_stems = {w for w in model.weight if w.endswith(b"*")}
+    for w, c, t in clean:
+        if w not in model.weight and not any(x in toxic_stems for x in stems(w)):
+            model.weight[w] = min(0.0, log_odds(t, c, n_toxic, n_clean, seen.get(w, 0) / total)[0]) - DRIFT
     model.heads = frozenset(w[: STEMS[0]] for w in model.weight if w.endswith(b"*"))
     # a word counts in the background for each of its pieces: lambda errs to the small side
     share = {w: seen.get(w, 0) / total for w in model.weight}
@@ -252,10 +272,11 @@ _FOUND = pa.struct([
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """docs with a column `out`: probability, and every significant passage by word offsets. No shuffle.
 
-    Null and empty texts have no passage and get the curve's lowest value.
+    Null and empty texts have no passage and get the curve's lowest value. Other columns
+    stay as they are; one called as `out` raises a ValueError.
     """
-    wide = docs.withColumn(out, F.lit(None).cast(FOUND))
-    at, text_at = wide.columns.index(out), wide.columns.index(text_col)
+    wide = docs.select(*columns_of(docs), F.lit(None).cast(FOUND).alias(new_column(docs, out)))
+    at, text_at = len(docs.columns), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -44,6 +45,36 @@ def test_segments_are_the_maximal_ones(values):
     assert [round(s, 6) for s, _, _ in got] == [round(s, 6) for s, _, _ in want]
 
 
+def test_segments_take_linear_time():
+    began = time.perf_counter()
+    for sign in (1, -1):
+        T.segments([(i, 1.0 + sign * i * 1e-6 if i % 2 else -1.0) for i in range(400_000)])
+        T.segments([(3 * i, 1.0 + sign * i * 1e-6) for i in range(200_000)])
+    assert time.perf_counter() - began < 30
+
+
+def test_stems_end_between_characters():
+    assert T.stems("äöüß".encode()) == ["äö*".encode(), "äöü*".encode()]
+
+
+def test_clean_words_have_log_odds(spark):
+    docs, labels = corpus(spark)
+    model = T.fit(docs, labels, ~held_out("_id", 3, 1))
+    clean = {w: x for w, x in model.weight.items() if x < 0}
+    assert len(clean) > 50 and all(x <= -T.DRIFT for x in clean.values()) and len(set(clean.values())) > 5
+
+
+def test_names_that_clash(spark):
+    docs, labels = corpus(spark, 60)
+    names = ["label", "_id", "part", "score", "quality", "word"]
+    more = docs.select("*", *[F.lit(n).alias(n) for n in names])
+    model, machine = T.fit(more, labels, F.lit(True)), Q.fit(more, labels, F.lit(True))
+    rows = T.score_toxicity(Q.score_quality(more, machine, out="good"), model).collect()
+    assert len(rows) == docs.count() and all([r[n] for n in names] == names for r in rows)
+    with pytest.raises(ValueError):
+        Q.score_quality(more, machine)
+
+
 def test_lambda_solves_its_equation():
     w, p = np.array([4.0, 2.0]), np.array([0.001, 0.01])
     x = T.karlin_lambda(w, p)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -20,15 +21,13 @@ def brute(text, items, window=13):
     w = words(text)
     hit, got, longest = set(), set(), 0
     for item, t in items:
-        if item is None:
-            continue
         v = words(t)
         k = min(window, len(v))
         for i in range(len(v) - k + 1 if v else 0):
             for p in range(len(w) - k + 1):
                 if w[p : p + k] == v[i : i + k]:
                     hit |= set(range(p, p + k))
-                    got.add(str(item))
+                    got |= {str(item)} - {"None"}
                     n = k
                     while p + n < len(w) and i + n < len(v) and w[p + n] == v[i + n]:
                         n += 1
@@ -84,7 +83,31 @@ def test_shards_of_one_document_agree(monkeypatch):
     block = D.TestBlock(items, 13)
     arrays = [block.numbers(D.words_alnum((t or "").encode())) for _, t in docs]
     whole = D.match_shard(arrays, block)
-    assert [sorted(x) for x in whole] == [sorted(D.match_shard([a], block)[0]) for a in arrays]
+    alone = [D.match_shard([a], block)[0] for a in arrays]
+    assert whole == alone
+    monkeypatch.setattr(D, "CHUNK", 7)
+    assert D.match_shard(arrays, block) == alone
+
+
+def test_the_same_word_over_and_over():
+    """Every place matches every window: what is held stays in proportion to the text."""
+    block = D.TestBlock([(1, "the " * 60), (2, "x " + "the " * 20)], 13)
+    began = time.perf_counter()
+    found = D.match_shard([block.numbers([b"the"] * 80_000)], block)[0]
+    assert found == {"spans": [(0, 80_000)], "rows": {0, 1}, "longest": (60, 0, 0)}
+    assert time.perf_counter() - began < 60
+
+
+def test_what_the_stage_drops(spark):
+    rng = random.Random(1)
+    text = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(n))
+    item = text(40)
+    docs = [(1, text(900) + " " + " ".join(item.split()[5:19]) + " " + text(300)), (2, text(50)), (3, "of the " + text(60)), (4, "of the"), (5, None)]
+    df = spark.createDataFrame([(*d, "x", "y") for d in docs], "doc_id long, text string, found string, n_words string")
+    kept = D.decontaminate(df, spark.createDataFrame([(1, item), (2, "of the")], "item_id long, text string"))
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {2, 3, 5}
+    with pytest.raises(ValueError):
+        D.find_matches(df, df.select("doc_id", "text"), item_col="doc_id")
 
 
 def test_digest_of_items():

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -57,9 +58,55 @@ def test_key_phrase_is_mandatory():
     assert found["labels"] == "" and found["score"] == 0
 
 
-def test_rarest_word_is_looked_up():
+def test_postings_start_at_the_rarest_word():
     index = N.LicenceIndex({b"mit": 1, b"license": 900, b"under": 1000, b"the": 1000}, 1000, [], {"mit": "under the mit license"})
-    assert list(index.anchors) == [b"mit"]
+    assert index.rarest == [b"mit"] and {w: p for w, p in index.postings.items()}[b"mit"] == [(0, 2)]
+    assert index.starts({b"mit": [2, 9], b"under": [0, 7], b"the": [1, 8], b"license": [3]}) == {0: [0]}
+
+
+def scan_by_brute_force(index, w):
+    """Labels and score by trying every entry at every place."""
+    labels, score, n = set(), 0.0, len(w)
+    for e, (label, entry, keys) in enumerate(index.entries):
+        for start in range(-len(entry), n + 1):
+            at = [0 <= start + i < n and w[start + i] == x for i, x in enumerate(entry)]
+            if keys is None:
+                if all(at):
+                    labels.add(label)
+                    score = 1.0
+                continue
+            first = [next(i for i in range(len(entry)) if entry[i : i + len(k)] == k) for k in keys]
+            if all(at[i] for f, k in zip(first, keys) for i in range(f, f + len(k))):
+                share = min(1.0, sum(max(index.idf[x], 0.0) for x, ok in zip(entry, at) if ok) / index.weight[e])
+                if share >= N.LEAST_COVER:
+                    labels.add(label)
+                    score = max(score, share)
+    return ",".join(sorted(labels)), score
+
+
+def test_labels_and_score_against_brute_force():
+    rng = random.Random(2)
+    df = {w: rng.choice([0, 1, 5, 50, 99]) for w in N.LicenceIndex({}, 0).vocabulary}
+    index = N.LicenceIndex(df, 100)
+    found = 0
+    for _ in range(300):
+        w = []
+        for _ in range(rng.randint(0, 3)):
+            notice = rng.choice(N.TEMPLATES)[1].split()
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                notice[rng.randrange(len(notice))] = rng.choice(["license", "the", "zzz", "version"])
+            w += notice[rng.choice([0, 0, 1, 4]) :] + rng.choice([[], ["x"], ["the", "license"]])
+        w = [x.encode() for x in w]
+        got = index.scan(w)
+        labels, score = scan_by_brute_force(index, w)
+        assert got["labels"] == labels and got["score"] == pytest.approx(score)
+        found += bool(labels)
+    assert found > 100
+
+
+def test_a_column_called_as_the_result(spark):
+    with pytest.raises(ValueError):
+        N.scan_licences(spark.createDataFrame([(1, "x", "y")], "doc_id long, text string, scan string"))
 
 
 def test_empty_table(spark):

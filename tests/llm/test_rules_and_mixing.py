@@ -89,18 +89,18 @@ def test_mixing_against_sql(spark):
     got = M.systematic_copies(df, df["text"].isNotNull().cast("long") * M.n_words(df["text"])).collect()
     want = {r[0]: r for r in oracle(M.SQL, rows).fetchall()}
     for r in got:
-        _, size, source_size, target, taken, copies = want[r.doc_id]
-        assert (r["_mix_size"], r["_mix_source_size"], r["_mix_copies"]) == (size, source_size, copies)
-        assert r["_mix_target"] == pytest.approx(target) and taken == copies * size <= 2 * size
+        _, size, source_size, target, taken, copies = want[r.row.doc_id]
+        assert (r["size"], r["source_size"], r["copies"]) == (size, source_size, copies)
+        assert r["target"] == pytest.approx(target) and taken == copies * size <= 2 * size
     totals = {}
     for r in got:
-        t = totals.setdefault(r.source, [0, r["_mix_target"], r["_mix_source_size"]])
-        t[0] += r["_mix_size"] * r["_mix_copies"]
+        t = totals.setdefault(r.row.source, [0, r["target"], r["source_size"]])
+        t[0] += r["size"] * r["copies"]
     assert sum(t[1] for t in totals.values()) == pytest.approx(1.5 * sum(t[2] for t in totals.values()))
     for taken, target, _ in totals.values():
         assert abs(taken - target) <= 130 + 0.02 * target
     mixed = M.mix(df.drop("size_"))
-    assert mixed.columns == COLUMNS and mixed.count() == sum(r["_mix_copies"] for r in got)
+    assert mixed.columns == COLUMNS and mixed.count() == sum(r["copies"] for r in got)
     again = M.mix(df.drop("size_").repartition(3))
     assert sorted(map(str, mixed.collect())) == sorted(map(str, again.collect()))
 

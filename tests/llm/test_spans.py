@@ -1,11 +1,58 @@
 import random
+import re
+import time
 
+import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from filtra.llm import span_dedup as S
 
 
+def _signed_hash(text):
+    x = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def plain_sentences(text):
+    """(start, stop, words) by the definition alone: cut at line ends, and after . ! ? before white space."""
+    out, start = [], 0
+    for i in range(len(text) + 1):
+        here = text[i : i + 1]
+        mark = here in (".", "!", "?") and here and (i + 1 == len(text) or text[i + 1].isspace())
+        if mark or here in ("\n", ""):
+            piece = text[start : i + bool(mark)]
+            words = re.findall(r"[0-9a-z\x80-\U0010FFFF]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in piece))
+            if words:
+                out.append(words)
+            start = i + bool(mark)
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab Z.!?\n\té5", max_size=40))
+def test_sentences_by_their_definition(text):
+    assert [s[2].decode().split(" ") for s in S.sentences(text.encode())] == plain_sentences(text)
+
+
+@pytest.mark.parametrize("part", ["!", "!x", ". ", "a.", "\n"])
+def test_sentences_take_linear_time(part):
+    began = time.perf_counter()
+    S.sentences((part * (2_000_000 // len(part)) + "x").encode())
+    assert time.perf_counter() - began < 20
+
+
+def test_names_that_clash(spark):
+    names = ["place", "places", "doc", "key", "d", "k", "row", "_d", "_doc", "_places", "hash", "first_docs"]
+    text = " ".join(f"word{i}" for i in range(25)) + "."
+    df = spark.createDataFrame([(i, text, *names) for i in range(2)], ["doc_id", "text", *names])
+    rows = S.remove_spans(df).orderBy("doc_id").collect()
+    assert [r.dedup.n_removed for r in rows] == [0, 1] and all([r[n] for n in names] == names for r in rows)
+    with pytest.raises(ValueError):
+        S.remove_spans(df, out="ROW")
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 30), max_size=30))
 def test_runs_are_the_shortest(sizes):
@@ -26,7 +73,7 @@ def test_sentences_end_at_marks_and_lines():
 def brute(docs):
     """Sentences to remove, by comparing every run with every earlier one."""
     seen, gone = {}, {}
-    for i, text in sorted(dict.fromkeys(docs), key=lambda d: ((1 << 63) - 1 if d[0] is None else d[0], S.text_key((d[1] or "").encode()))):
+    for i, text in sorted(dict.fromkeys(docs), key=lambda d: ((1 << 63) - 1 if d[0] is None else d[0], _signed_hash(d[1]))):
         found = S.sentences(text.encode()) if text else []
         for a, b in S.runs([s[3] for s in found]):
             key = b" ".join(s[2] for s in found[a:b])
