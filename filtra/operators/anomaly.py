@@ -226,3 +226,19 @@ def robust_outliers(rows: DataFrame, group: str, value: str, limit: float = 3.5)
     r = rows.join(m, group)
     s = r.groupBy(group).agg(F.median(F.abs(F.col(value) - F.col("_m"))).alias("_s"))
     return r.join(s, group).withColumn("outlier", 0.6745 * F.abs(F.col(value) - F.col("_m")) > limit * F.greatest("_s", F.lit(EPS))).drop("_m", "_s")
+
+
+def market_anomaly(series: DataFrame, key: str, order: str, price: str, volume: str, width: int = 20) -> DataFrame:
+    """Rows with the anomaly scores of price and volume against the `width` values before, and their fusion.
+
+    A score is max(0, (|z| - 2) / 4); fused: the mean of the positive scores' sum and
+    their maximum, p = exp(-fused), critical if the maximum is above 0.8. Rows with
+    fewer than two values before them are left out.
+    """
+    w = _past(key, order, width)
+    z = lambda c: (F.col(c) - F.avg(c).over(w)) / F.greatest(F.stddev_pop(c).over(w), F.lit(EPS))
+    score = lambda c: F.greatest(F.lit(0.0), (F.abs(z(c)) - 2) / 4)
+    s = series.withColumns({"price_score": score(price), "volume_score": score(volume), "_n": F.count(price).over(w)}).where("_n >= 2").drop("_n")
+    most = F.greatest("price_score", "volume_score")
+    fused = (F.col("price_score") + F.col("volume_score") + most) / 2
+    return s.withColumns({"score": fused, "p": F.exp(-fused), "critical": most > 0.8})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filtra.operators.distance import nearest, range_edges
+from filtra.plans.tables import cut
 from filtra.schema import INF
 
 KEY = "cloud_id"
@@ -25,6 +26,8 @@ def flag_complex(vertices: DataFrame, edges: DataFrame, top: int = 2) -> DataFra
     its latest edge or vertex.
     """
     e = edges.select(KEY, "src", "dst", "dist")
+    if top > 1:
+        e = cut(e)  # every dimension joins them again
     level = e.select(KEY, F.lit(1).alias("dim"), F.array("src", "dst").alias("vertices"), F.col("dist").alias("filtration"))
     out = vertices.select(*COLUMNS).unionByName(level)
     for dim in range(2, top + 1):

@@ -209,14 +209,29 @@ def canonical_order(d: DataFrame) -> DataFrame:
     return d.orderBy(KEY, "dim", "birth", "death")
 
 
-def drift_score(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """(diagram_id, drift): shifts of the mean birth, death and persistence in baseline deviations, and of the count."""
+def drift_score(baseline: DataFrame, current: DataFrame, bins: int = 20) -> DataFrame:
+    """(diagram_id, drift): shifts of the mean birth, death and persistence in baseline deviations, of the count, and of
+    the births' histogram (chi-squared, half its weight), over five.
+
+    A histogram has `bins` bins from 0 to the diagram's largest birth or death; births below 0 are in the first.
+    """
 
     def profile(d: DataFrame, tag: str) -> DataFrame:
         cols = {"b": F.col("birth"), "d": F.col("death"), "p": persistence()}
         aggs = [f(x).alias(f"{n}{k}{tag}") for k, x in cols.items() for n, f in (("m", F.avg), ("s", F.stddev_pop))]
         return finite_pairs(d).groupBy(KEY).agg(F.count(F.lit(1)).alias(f"n{tag}"), *aggs)
 
-    j = profile(baseline, "0").join(profile(current, "1"), KEY)
+    def histogram(d: DataFrame, tag: str) -> DataFrame:
+        f = finite_pairs(d)
+        top = f.groupBy(KEY).agg(F.greatest(F.max("birth"), F.max("death")).alias("top"))
+        top = top.withColumn("top", F.when(F.col("top") > 0, F.col("top")).otherwise(F.lit(1.0)))
+        at = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(F.col("birth") / F.col("top") * bins)))
+        return f.join(top, KEY).groupBy(KEY, at.alias("bin")).agg(F.count(F.lit(1)).alias(f"h{tag}"))
+
+    both = histogram(baseline, "0").join(histogram(current, "1"), [KEY, "bin"], "full").fillna(0, ["h0", "h1"])
+    h0, h1 = F.col("h0"), F.col("h1")
+    chi = both.groupBy(KEY).agg(F.sum((h0 - h1) * (h0 - h1) / (h0 + h1)).alias("chi"))
+    j = profile(baseline, "0").join(profile(current, "1"), KEY).join(chi, KEY)
     shift = lambda k: F.abs(F.col(f"m{k}1") - F.col(f"m{k}0")) / F.greatest(F.col(f"s{k}0"), F.lit(EPS))
-    return j.select(KEY, ((shift("b") + shift("d") + shift("p") + 2 * F.abs(1 - F.col("n1") / F.col("n0"))) / 5).alias("drift"))
+    score = shift("b") + shift("d") + shift("p") + 2 * F.abs(1 - F.col("n1") / F.col("n0")) + F.col("chi") / 2
+    return j.select(KEY, (score / 5).alias("drift"))

@@ -57,21 +57,68 @@ def range_edges(points: DataFrame, radius: float, metric="euclidean", grid_dims:
     return d.select("cloud_id", "src", "dst", metric_of(metric)(F.col("a"), F.col("b")).alias("dist")).where(F.col("dist") <= radius)
 
 
-def nearest(points: DataFrame, k: int = 5, metric="euclidean", queries: DataFrame | None = None) -> DataFrame:
-    """(cloud_id, src, dst, dist, rank): the k nearest other points, ties by dst.
+#: Points of a block of `nearest`: a task holds two blocks, and one block's distances to the other.
+NEAREST_BLOCK = 2048
+_BLOCKWISE = {"euclidean": "l2", "l2": "l2", "manhattan": "l1", "cityblock": "l1", "l1": "l1", "chebyshev": "linf", "linf": "linf"}
 
-    The k smallest of each point are kept while its distances stream by, as a bounded
-    aggregate: no list of all its distances is ever held.
+
+def nearest(points: DataFrame, k: int = 5, metric="euclidean", queries: DataFrame | None = None, itself: bool = False) -> DataFrame:
+    """(cloud_id, src, dst, dist, rank): the k nearest points, ties by dst; `itself`: a point counts as its own neighbour.
+
+    Euclidean, Manhattan and Chebyshev distances are found block by block: a cloud's
+    points are dealt into blocks, every query block meets every block in a group of
+    its own, and only the k nearest of each leave it. So no task holds a cloud, and
+    the final ranking sees k rows a point and block. Other metrics join all pairs.
     """
-    a, b = _sides(points if queries is None else queries)[0], _sides(points)[1]
-    rows = a.join(b, "cloud_id")
-    if queries is None:
-        rows = rows.where("src <> dst")
-    rows = rows.select("cloud_id", "src", "dst", metric_of(metric)(F.col("a"), F.col("b")).alias("dist"))
+    if isinstance(metric, str) and metric in _BLOCKWISE:
+        rows = _nearest_in_blocks(points, k, _BLOCKWISE[metric], queries, itself)
+    else:
+        a, b = _sides(points if queries is None else queries)[0], _sides(points)[1]
+        rows = a.join(b, "cloud_id")
+        if queries is None and not itself:
+            rows = rows.where("src <> dst")
+        rows = rows.select("cloud_id", "src", "dst", metric_of(metric)(F.col("a"), F.col("b")).alias("dist"))
     order = Window.partitionBy("cloud_id", "src").orderBy("dist", "dst")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _nearest_in_blocks(points: DataFrame, k: int, norm: str, queries: DataFrame | None, itself: bool) -> DataFrame:
+    import numpy as np
+    import pandas as pd
+
+    size = points.groupBy("cloud_id").agg(F.ceil(F.count(F.lit(1)) / NEAREST_BLOCK).cast("int").alias("n"))
+    asked = (points if queries is None else queries).select("cloud_id", "point_id", "coords")
+    others_only = queries is None and not itself
+    own = F.pmod(F.xxhash64("point_id"), F.col("n")).cast("int")
+    all_ = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    a = asked.join(size, "cloud_id").select("cloud_id", "point_id", "coords", own.alias("i"), all_.alias("j"), F.lit(True).alias("asks"))
+    b = points.join(size, "cloud_id").select("cloud_id", "point_id", "coords", all_.alias("i"), own.alias("j"), F.lit(False).alias("asks"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf["asks"].to_numpy()
+        x, y = (np.array(pdf["coords"][m].tolist(), float) for m in (asks, ~asks))
+        src, dst = pdf["point_id"][asks].to_numpy(), pdf["point_id"][~asks].to_numpy()
+        out = []
+        order = np.argsort(dst, kind="stable")
+        y, dst = y[order], dst[order]
+        step = max(1, (1 << 22) // max(1, y.size))
+        for at in range(0, len(x), step):
+            gap = np.abs(x[at : at + step, None, :] - y[None, :, :])
+            d = np.sqrt((gap * gap).sum(-1)) if norm == "l2" else gap.sum(-1) if norm == "l1" else gap.max(-1)
+            if others_only:
+                d[src[at : at + step, None] == dst[None, :]] = np.inf
+            best = np.argsort(d, axis=1, kind="stable")[:, :k]
+            rows = np.repeat(np.arange(len(d)), best.shape[1])
+            out.append((src[at + rows], dst[best.ravel()], d[rows, best.ravel()]))
+        s, t, d = (np.concatenate(c) for c in zip(*out)) if out else ([], [], [])
+        found = pd.DataFrame({"cloud_id": pdf["cloud_id"].iloc[0], "src": s, "dst": t, "dist": d})
+        return found[found["src"] != found["dst"]] if others_only else found
+
+    kind = dict(points.dtypes)
+    schema = f"cloud_id {kind['cloud_id']}, src {dict(asked.dtypes)['point_id']}, dst {kind['point_id']}, dist double"
+    return a.unionByName(b).groupBy("cloud_id", "i", "j").applyInPandas(solve, schema)
+
+
 def radius_count(points: DataFrame, radius: float, metric="euclidean") -> DataFrame:
     """Number of other points within radius of each point."""
     e = range_edges(points, radius, metric)

@@ -160,3 +160,25 @@ def similar_vectors(vectors: DataFrame, limit: float, bucket: float = 1.0, table
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(v)
     j = model.approxSimilarityJoin(v, v, limit, "dist")
     return j.select(F.col(f"datasetA.{KEY}").alias("id_a"), F.col(f"datasetB.{KEY}").alias("id_b"), "dist").where("id_a < id_b")
+
+
+def gaussian_kernel_points(a: DataFrame, b: DataFrame, sigma: float = 1.0) -> DataFrame:
+    """(diagram_id, b1, d1, b2, d2, k): the Gaussian of every two finite points of a diagram's a side and b side."""
+    x = finite_pairs(a).where(persistence() > 0).select(KEY, F.col("birth").alias("b1"), F.col("death").alias("d1"))
+    y = finite_pairs(b).where(persistence() > 0).select(KEY, F.col("birth").alias("b2"), F.col("death").alias("d2"))
+    return x.join(y, KEY).withColumn("k", F.exp(-_square() / (2 * sigma * sigma)))
+
+
+def cross_similarity(left: DataFrame, right: DataFrame, sigma: float = 0.5) -> DataFrame:
+    """(id_a, id_b, k): the Gaussian kernel of every diagram of one set with every diagram of another.
+
+    All pairs of diagrams are the result; equal points of a diagram count once, with a weight.
+    """
+
+    def points(d: DataFrame, i: int, tag: str) -> DataFrame:
+        f = finite_pairs(d).groupBy(KEY, "birth", "death").agg(F.count(F.lit(1)).alias("n"))
+        return f.select(F.col(KEY).alias(f"id_{tag}"), F.col("birth").alias(f"b{i}"), F.col("death").alias(f"d{i}"), F.col("n").alias(f"n{i}"))
+
+    ids = left.select(F.col(KEY).alias("id_a")).distinct().crossJoin(right.select(F.col(KEY).alias("id_b")).distinct())
+    j = ids.join(points(left, 1, "a"), "id_a").join(points(right, 2, "b"), "id_b")
+    return j.groupBy("id_a", "id_b").agg(_total(F.exp(-_square() / (2 * sigma * sigma))).alias("k"))

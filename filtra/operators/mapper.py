@@ -59,6 +59,34 @@ def interval_cover(points: DataFrame, resolution: int = 10, overlap: float = 0.2
     return p.join(F.broadcast(index), "raw").drop("raw")  # at most `resolution` rows
 
 
+def density_filter(points: DataFrame, radius: float) -> DataFrame:
+    """The number of other points within radius."""
+    from filtra.operators.distance import radius_count
+
+    return points.join(radius_count(points, radius), ["cloud_id", "point_id"]).withColumn("lens", F.col("degree").cast("double")).drop("degree")
+
+
+def grid_cover(points: DataFrame, lenses: list[Column], resolution: int = 10, overlap: float = 0.25) -> DataFrame:
+    """points with cover_index: boxes that are products of one interval cover for each lens.
+
+    A box that holds no point gets no index; boxes are numbered in the order of their intervals.
+    """
+    p, names = points, []
+    for i, lens in enumerate(lenses):
+        p = interval_cover(p.withColumn("lens", lens), resolution, overlap).drop("lens").withColumnRenamed("cover_index", f"_box{i}")
+        names.append(f"_box{i}")
+    index = p.select(*names).distinct().withColumn("cover_index", F.dense_rank().over(Window.orderBy(*names)).cast("long") - 1)
+    return p.join(F.broadcast(index), names).drop(*names)  # at most resolution ^ lenses rows
+
+
+def unit_cover(points: DataFrame, resolution: int = 10, overlap: float = 0.5) -> DataFrame:
+    """points with cover_index: lenses in [0, 1] under intervals of width 1 / (resolution - (resolution - 1) overlap)."""
+    width = 1.0 / (resolution - (resolution - 1) * overlap)
+    start = lambda i: i * F.lit(width * (1 - overlap))
+    held = F.filter(F.sequence(F.lit(0), F.lit(resolution - 1)), lambda i: (F.col("lens") >= start(i)) & (F.col("lens") <= start(i) + width))
+    return points.withColumn("cover_index", F.explode(held)).withColumn("cover_index", F.col("cover_index").cast("long"))
+
+
 def dbscan(x: np.ndarray, eps: float, least: int) -> np.ndarray:
     """Labels from 0, -1 for noise; eps is closed, a point counts itself, a border point joins its first cluster."""
     near = distances(x) <= eps
@@ -92,10 +120,14 @@ def single_linkage(x: np.ndarray, eps: float) -> np.ndarray:
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 20, seed: int = 7) -> np.ndarray:
-    """Labels by Lloyd's rounds from farthest-first centres."""
-    from filtra.functions.reduce import farthest_points
-
-    centre = x[farthest_points(x, k)]
+    """Labels by Lloyd's rounds from centres drawn with probability by the squared distance to those before."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(x)))]
+    gap = ((x - x[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < k and gap.max(initial=0.0) > 0:
+        chosen.append(int(rng.choice(len(x), p=gap / gap.sum())))
+        gap = np.minimum(gap, ((x - x[chosen[-1]]) ** 2).sum(1))
+    centre = x[chosen]
     label = np.zeros(len(x), int)
     for _ in range(rounds):
         label = np.linalg.norm(x[:, None] - centre[None], axis=2).argmin(1)

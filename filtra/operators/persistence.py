@@ -19,6 +19,7 @@ from filtra.functions import assign
 from filtra.functions import reduce as R
 from filtra.operators import complexes
 from filtra.operators.graph import spanning_forest
+from filtra.plans.tables import cut
 from filtra.schema import DIAGRAM, choice
 
 _COLUMNS = ["diagram_id", "dim", "birth", "death"]
@@ -185,30 +186,39 @@ def union_find_grid(grid: DataFrame) -> DataFrame:
 # distances between diagrams: one pair of diagrams a group
 
 
+#: Diagrams of a block of diagram_distances: a task holds two blocks.
+DIAGRAM_BLOCK = 32
+
+
 def diagram_distances(diagrams: DataFrame, how: str = "wasserstein", p: float = 2.0, q: float = 2.0, dim: int | None = None) -> DataFrame:
     """(id_a, id_b, dist) of all pairs id_a < id_b by exact assignment of the finite points (of one dim).
 
-    how: wasserstein, bottleneck or sinkhorn. A pair of diagrams is one group; the
-    points of a diagram are gathered once and joined to its partners as arrays.
+    how: wasserstein, bottleneck or sinkhorn. Diagrams are packed once, dealt into
+    blocks by a hash, and every two blocks meet in a group of their own: an equi-join
+    on the blocks in effect, with nothing broadcast.
     """
     choice(how, "how", ("wasserstein", "bottleneck", "sinkhorn"))
     d = diagrams if dim is None else diagrams.where(F.col("dim") == dim)
     finite = F.col("death") < F.lit(math.inf)
-    packed = d.groupBy("diagram_id").agg(F.collect_list(F.when(finite, F.struct("birth", "death"))).alias("p"))
-    a = packed.select(F.col("diagram_id").alias("id_a"), F.col("p").alias("pa"))
-    b = packed.select(F.col("diagram_id").alias("id_b"), F.col("p").alias("pb"))
-
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for pa, pb in zip(pdf["pa"], pdf["pb"]):
-                x = np.array([(r["birth"], r["death"]) for r in pa], float).reshape(-1, 2)
-                y = np.array([(r["birth"], r["death"]) for r in pb], float).reshape(-1, 2)
-                out.append(assign.wasserstein(x, y, p, q) if how == "wasserstein" else assign.bottleneck(x, y) if how == "bottleneck" else assign.sinkhorn(x, y, p))
-            yield pd.DataFrame({"id_a": pdf["id_a"], "id_b": pdf["id_b"], "dist": out})
-
-    pairs = a.join(b, F.col("id_a") < F.col("id_b")).repartition("id_a", "id_b")
-    return pairs.mapInPandas(solve, "id_a string, id_b string, dist double")
+    packed = cut(d.groupBy("diagram_id").agg(F.collect_list(F.when(finite, F.array("birth", "death"))).alias("points")))
+    blocks = max(1, -(-packed.count() // DIAGRAM_BLOCK))
+    own = F.pmod(F.xxhash64("diagram_id"), F.lit(blocks)).cast("int")
+    rows = packed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select("diagram_id", "points", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    distance = {"wasserstein": lambda x, y: assign.wasserstein(x, y, p, q), "bottleneck": assign.bottleneck, "sinkhorn": lambda x, y: assign.sinkhorn(x, y, p)}[how]
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("diagram_id")
+        ids, side = pdf["diagram_id"].tolist(), pdf["own"].tolist()
+        points = [np.array([np.asarray(r, float) for r in v], float).reshape(-1, 2) for v in pdf["points"]]
+        across = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+        out = [
+            (ids[a], ids[b], distance(points[a], points[b]))
+            for a in range(len(ids)) for b in range(a + 1, len(ids)) if not across or side[a] != side[b]
+        ]
+        return pd.DataFrame(out, columns=["id_a", "id_b", "dist"])
+
+    return rows.groupBy("i", "j").applyInPandas(solve, "id_a string, id_b string, dist double")
 
 
 def match_diagrams(ref: DataFrame, other: DataFrame, limit: float = math.inf) -> DataFrame:
@@ -227,8 +237,7 @@ def match_diagrams(ref: DataFrame, other: DataFrame, limit: float = math.inf) ->
 def chunked(points: DataFrame, size: int, overlap: int = 0) -> DataFrame:
     """(chunk_id, cloud_id, point_id, coords): consecutive points in chunks of `size`, overlapping by `overlap`.
 
-    The last chunks may be short. Points are numbered in their cloud by a count a
-    range, not by one window over all.
+    The last chunks may be short. Points are numbered in their cloud by one window a cloud.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be below the size")
@@ -268,3 +277,15 @@ def bootstrap(points: DataFrame, replicates: int = 10, max_dim: int = 1, seed: i
 
     p = points.select("cloud_id", "point_id", "coords", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     return p.groupBy("cloud_id", "replicate").applyInPandas(one, DIAGRAM + ", replicate int")
+
+
+def approximate_bottleneck(diagrams: DataFrame, error: float) -> DataFrame:
+    """(id_a, id_b, dist): bottleneck distances that are off by at most `error`, from births and deaths on a grid of it.
+
+    Snapping moves a point by at most half the error, so each diagram by no more; equal
+    values make the exact search short.
+    """
+    if not error > 0:
+        raise ValueError("the error must be positive")
+    snap = lambda c: F.when(F.col(c) < F.lit(math.inf), F.round(F.col(c) / error) * error).otherwise(F.col(c))
+    return diagram_distances(diagrams.withColumns({"birth": snap("birth"), "death": snap("death")}), "bottleneck")

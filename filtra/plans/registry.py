@@ -8,12 +8,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filtra.operators import anomaly, complexes, diagram, distance, graph, kernels, mapper, morse, persistence, spectral, vectorize
+from filtra.operators import anomaly, complexes, diagram, distance, geometry, graph, kernels, mapper, morse, persistence, spectral, summary, vectorize
 from filtra.plans import inputs as I
-from filtra.plans.tables import load, shared_folder
+from filtra.plans.tables import cut, load, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -69,12 +69,14 @@ def io_csv(spark, sf):
     return formats.load_csv(spark, path).groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("birth"), 4).alias("births"), F.round(F.sum("death"), 4).alias("deaths"))
 
 
-@query("io_off_text", f"WITH {I.PART_PLANE} SELECT cloud_id, 'OFF' AS head, count(*) || ' 0 0' AS counts, count(*) + 2 AS n_lines FROM plane GROUP BY cloud_id")
+@query("io_off_text", f"WITH {I.PART_PLANE} SELECT cloud_id, round(sum(x), 4) AS xs, round(sum(y), 4) AS ys, count(*) AS n, 'OFF' AS head FROM plane GROUP BY cloud_id")
 def io_off(spark, sf):
     from filtra.sources import formats
 
     v = formats.off_text(I.part_plane(spark, sf)).withColumn("v", F.split("value", "\n"))
-    return v.select("cloud_id", F.get("v", F.lit(0)).alias("head"), F.get("v", F.lit(1)).alias("counts"), F.size("v").cast("long").alias("n_lines"))
+    rows = v.select("cloud_id", F.get("v", F.lit(0)).alias("head"), F.explode(F.slice("v", 3, F.size("v") - 2)).alias("line"))
+    cell = lambda i: F.get(F.split("line", " "), F.lit(i)).cast("double")
+    return rows.groupBy("cloud_id", "head").agg(F.round(F.sum(cell(0)), 4).alias("xs"), F.round(F.sum(cell(1)), 4).alias("ys"), F.count(F.lit(1)).alias("n"))
 
 
 @query("io_sample_clouds", "SELECT cloud_id, CAST(n AS BIGINT) AS n, true AS on_surface FROM (VALUES ('circle', 500), ('sphere', 500), ('torus', 500)) t(cloud_id, n)")
@@ -146,11 +148,11 @@ def top_pairs(spark, sf):
 
 
 @query("diagram_statistics", _SHIP + """SELECT diagram_id, dim, count(*) AS n_features, count(*) FILTER (death = 'infinity'::DOUBLE) AS n_infinite,
-  coalesce(sum(q), 0) AS total_persistence, round(avg(q), 6) AS mean_persistence, max(q) AS max_persistence, round(var_pop(q), 4) AS variance,
+  round(avg(birth), 6) AS mean_birth, round(avg(death) FILTER (death < 'infinity'::DOUBLE), 6) AS mean_death, coalesce(sum(q), 0) AS total_persistence, round(avg(q), 6) AS mean_persistence, max(q) AS max_persistence, round(var_pop(q), 4) AS variance,
   round(ln(sum(q)) - sum(CASE WHEN q > 0 THEN q * ln(q) END) / sum(q), 6) AS entropy FROM (SELECT *, CASE WHEN death < 'infinity'::DOUBLE THEN death - birth END AS q FROM d) GROUP BY diagram_id, dim""")
 def statistics(spark, sf):
-    s = diagram.statistics(I.shipping_diagram(spark, sf)).drop("mean_birth", "mean_death")
-    return rounded(s, "mean_persistence", "entropy").withColumn("variance", F.round("variance", 4))
+    s = diagram.statistics(I.shipping_diagram(spark, sf))
+    return rounded(s, "mean_persistence", "entropy", "mean_birth", "mean_death").withColumn("variance", F.round("variance", 4))
 
 
 @query("diagram_total_persistence", f"WITH {I.SUPPLIERS} SELECT diagram_id, round(sum(pow(p, 2)), 6) AS total_persistence FROM f GROUP BY ALL")
@@ -158,7 +160,7 @@ def total(spark, sf):
     return rounded(diagram.total_persistence(I.supplier_diagram(spark, sf), 2.0), "total_persistence")
 
 
-@query("diagram_entropy", f"WITH {I.SUPPLIERS}, t AS (SELECT diagram_id, sum(p) AS t FROM f GROUP BY ALL) SELECT diagram_id, round(-sum(p / t * ln(p / t)) / ln(2), 6) AS entropy FROM f JOIN t USING (diagram_id) GROUP BY ALL")
+@query("diagram_entropy", f"WITH {I.SUPPLIERS}, t AS (SELECT diagram_id, sum(p) AS t FROM f GROUP BY ALL) SELECT diagram_id, round(-sum(p / t * ln(p / t)) / ln(2), 6) + 0.0 AS entropy FROM f JOIN t USING (diagram_id) GROUP BY ALL")
 def entropy(spark, sf):
     return rounded(diagram.entropy(I.supplier_diagram(spark, sf), 2.0), "entropy")
 
@@ -186,7 +188,7 @@ for _how, _expr in (("bottleneck", "max(p)"), ("persistence", "sum(pow(p, 2))"),
 
 
 @query("diagram_birth_curve", f"""WITH {I.SUPPLIERS}, s AS (SELECT diagram_id, min(birth) lo, max(birth) hi FROM f GROUP BY ALL),
-b AS (SELECT f.diagram_id, CAST(least(floor((birth - lo) / (hi - lo) * 20), 19) AS INTEGER) AS bin, count(*)::DOUBLE AS n FROM f JOIN s USING (diagram_id) GROUP BY ALL)
+b AS (SELECT f.diagram_id, CAST(CASE WHEN hi > lo THEN least(floor((birth - lo) / (hi - lo) * 20), 19) ELSE 0 END AS INTEGER) AS bin, count(*)::DOUBLE AS n FROM f JOIN s USING (diagram_id) GROUP BY ALL)
 SELECT diagram_id, CAST(i AS INTEGER) AS bin, coalesce(n, 0.0) AS value FROM s CROSS JOIN range(20) t(i) LEFT JOIN b ON b.diagram_id = s.diagram_id AND b.bin = t.i
 """.replace("SELECT diagram_id, CAST(i", "SELECT s.diagram_id, CAST(i"))
 def births(spark, sf):
@@ -194,13 +196,16 @@ def births(spark, sf):
 
 
 @query("diagram_summary_features", f"WITH {I.SUPPLIERS} SELECT diagram_id, count(*) AS n, round(avg(p), 6) AS mean, round(max(p), 6) AS max, round(stddev_pop(p), 6) AS std, count(*) FILTER (round(p, 6) > 0.55) AS n_long FROM f GROUP BY ALL")
-def summary(spark, sf):
+def summary_features(spark, sf):
     return rounded(diagram.summary_features(I.supplier_diagram(spark, sf), 0.55), "mean", "max", "std")
 
 
 @query("diagram_drift", f"""WITH {I.SUPPLIERS}, a AS (SELECT diagram_id, avg(birth) mb, stddev_pop(birth) sb, avg(death) md, stddev_pop(death) sd, avg(p) mp, stddev_pop(p) sp, count(*) n FROM f WHERE dim = 0 GROUP BY ALL),
-b AS (SELECT diagram_id, avg(birth) mb, avg(death) md, avg(p) mp, count(*) n FROM f WHERE dim = 1 GROUP BY ALL)
-SELECT diagram_id, round((abs(b.mb - a.mb) / greatest(sb, 1e-12) + abs(b.md - a.md) / greatest(sd, 1e-12) + abs(b.mp - a.mp) / greatest(sp, 1e-12) + 2 * abs(1 - b.n / a.n)) / 5, 6) AS drift FROM a JOIN b USING (diagram_id)""")
+b AS (SELECT diagram_id, avg(birth) mb, avg(death) md, avg(p) mp, count(*) n FROM f WHERE dim = 1 GROUP BY ALL),
+tp AS (SELECT diagram_id, dim, greatest(max(birth), max(death)) AS top FROM f GROUP BY ALL),
+hs AS (SELECT f.diagram_id, f.dim, greatest(0, least(19, floor(birth / CASE WHEN top > 0 THEN top ELSE 1 END * 20))) AS bin, count(*) AS n FROM f JOIN tp ON tp.diagram_id = f.diagram_id AND tp.dim = f.dim GROUP BY ALL),
+ch AS (SELECT diagram_id, sum(power(n0 - n1, 2) / (n0 + n1)) AS chi FROM (SELECT diagram_id, bin, sum(CASE dim WHEN 0 THEN n ELSE 0 END) AS n0, sum(CASE dim WHEN 1 THEN n ELSE 0 END) AS n1 FROM hs GROUP BY ALL) GROUP BY ALL)
+SELECT diagram_id, round((abs(b.mb - a.mb) / greatest(sb, 1e-12) + abs(b.md - a.md) / greatest(sd, 1e-12) + abs(b.mp - a.mp) / greatest(sp, 1e-12) + 2 * abs(1 - b.n / a.n) + chi / 2) / 5, 6) AS drift FROM a JOIN b USING (diagram_id) JOIN ch USING (diagram_id)""")
 def drift(spark, sf):
     d = I.supplier_diagram(spark, sf)
     return rounded(diagram.drift_score(d.where("dim = 0"), d.where("dim = 1")), "drift")
@@ -308,10 +313,12 @@ def order(spark, sf):
     return c.groupBy("cloud_id", "dim").agg(F.count(F.lit(1)).alias("n"), F.sum("place").alias("places"))
 
 
-@query("boundary_matrix", f"""WITH {_TRIANGLES} SELECT cloud_id, CAST(dim AS INTEGER) AS dim, CAST(sign AS INTEGER) AS sign, count(*) AS n FROM (
-  SELECT cloud_id, 1 AS dim, unnest([1, -1]) AS sign FROM ed UNION ALL SELECT cloud_id, 2, unnest([1, -1, 1]) FROM tri) GROUP BY ALL""")
+@query("boundary_matrix", f"""WITH {_TRIANGLES} SELECT cloud_id, CAST(dim AS INTEGER) AS dim, r, c, CAST(sign AS INTEGER) AS sign FROM (
+  SELECT cloud_id, 1 AS dim, unnest([CAST(dst AS VARCHAR), CAST(src AS VARCHAR)]) AS r, src || ',' || dst AS c, unnest([1, -1]) AS sign FROM ed
+  UNION ALL SELECT cloud_id, 2, unnest([v || ',' || w, u || ',' || w, u || ',' || v]), u || ',' || v || ',' || w, unnest([1, -1, 1]) FROM tri)""")
 def boundary(spark, sf):
-    return complexes.boundary(_part_complex(spark, sf)).groupBy("cloud_id", "dim", "sign").agg(F.count(F.lit(1)).alias("n"))
+    name = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",")
+    return complexes.boundary(_part_complex(spark, sf)).select("cloud_id", "dim", name("row").alias("r"), name("col").alias("c"), "sign")
 
 
 @query("face_check", "SELECT 0::BIGINT AS n_missing")
@@ -331,12 +338,14 @@ def closed(spark, sf):
     return c.groupBy("cloud_id", "dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("filtration"), 4).alias("total"))
 
 
-@query("weighted_rips_edges", f"""WITH {I.PART_EDGES} SELECT e.cloud_id, count(*) AS n, round(sum(dist / (1 + (a.x + b.x) / 2)), 5) AS total
-FROM ed e JOIN plane a ON a.point_id = e.src JOIN plane b ON b.point_id = e.dst GROUP BY ALL""")
-def weighted(spark, sf):
-    p = I.part_plane(spark, sf)
-    w = p.select("cloud_id", "point_id", F.get("coords", F.lit(0)).alias("weight"))
-    return complexes.weighted_edges(I.part_edges(spark, sf), w).groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("dist"), 5).alias("total"))
+for _how, _expr in (("inverse_distance", "dist / (1 + w)"), ("exponential", "dist * exp(-w)"), ("linear", "dist * greatest(0.1::DOUBLE, 1 - w)")):
+
+    @query(f"weighted_edges_{_how}", f"""WITH {I.PART_EDGES}
+SELECT cloud_id, src, dst, round({_expr}, 6) AS dist FROM (SELECT e.*, (a.x + b.x) / 100 AS w FROM ed e JOIN plane a ON a.point_id = e.src JOIN plane b ON b.point_id = e.dst)""")
+    def weighted(spark, sf, how=_how):
+        p = I.part_plane(spark, sf)
+        w = p.select("cloud_id", "point_id", (F.get("coords", F.lit(0)) / 50).alias("weight"))
+        return rounded(complexes.weighted_edges(I.part_edges(spark, sf), w, how), "dist")
 
 
 @query("graph_laplacian_entries", f"""WITH {_TRIANGLES}, dg AS (SELECT cloud_id, v, count(*) AS n FROM (SELECT cloud_id, src AS v FROM ed UNION ALL SELECT cloud_id, dst FROM ed) GROUP BY ALL)
@@ -388,7 +397,7 @@ pr AS (SELECT cloud_id, gap AS death FROM gp WHERE gap > 1e-12 UNION ALL SELECT
 h AS (SELECT cloud_id, CAST(i AS INTEGER) AS i, i * 2.0::DOUBLE / 49 AS t FROM (SELECT DISTINCT cloud_id FROM line) CROSS JOIN range(50) r(i))
 SELECT h.cloud_id AS diagram_id, i, count(*) FILTER (death > t) AS betti FROM h JOIN pr USING (cloud_id) GROUP BY ALL""")
 def h0_curve(spark, sf):
-    d = persistence.persistence(I.supplier_line(spark, sf), 0)
+    d = cut(persistence.persistence(I.supplier_line(spark, sf), 0))  # the curve reads it more than once
     return vectorize.betti_curve(d, 50, 2.0).select("diagram_id", "i", "betti")
 
 
@@ -493,7 +502,7 @@ def count_curve(spark, sf):
     return vectorize.persistence_count_curve(I.shipping_diagram(spark, sf), 20).drop("t")
 
 
-@query("persistence_image", f"""{_SUP}, s AS (SELECT diagram_id, min(birth) x0, max(birth) x1, min(p) y0, max(p) y1 FROM f GROUP BY ALL),
+@query("persistence_image", f"""{_SUP}, s AS (SELECT diagram_id, min(birth) x0, CASE WHEN max(birth) > min(birth) THEN max(birth) ELSE min(birth) + 1 END AS x1, min(p) y0, CASE WHEN max(p) > min(p) THEN max(p) ELSE min(p) + 1 END AS y1 FROM f GROUP BY ALL),
 gr AS (SELECT diagram_id, CAST(i AS INTEGER) AS ix, CAST(j AS INTEGER) AS iy, x0 + i * (x1 - x0) / 9.0::DOUBLE AS gx, y0 + j * (y1 - y0) / 9.0::DOUBLE AS gy FROM s CROSS JOIN range(10) a(i) CROSS JOIN range(10) b(j))
 SELECT diagram_id, ix, iy, round(sum(p * exp(-((gx - birth) * (gx - birth) + (gy - p) * (gy - p)) / 0.5)), 6) AS value FROM gr JOIN f USING (diagram_id) GROUP BY ALL""")
 def image(spark, sf):
@@ -673,6 +682,132 @@ def spectra(spark, sf):
     return rounded(f, "gap", "cheeger_low", "cheeger_high", "heat_trace", "entropy", "radius")
 
 
+# summaries and geometry
+
+
+@query("sketch_statistics", _SHIP + """SELECT diagram_id, count(*) AS n, CAST(max(dim) AS INTEGER) AS max_dim, round(avg(birth), 6) AS mean_birth, round(stddev_pop(birth), 6) AS std_birth, min(birth) AS min_birth, max(birth) AS max_birth,
+  round(avg(de), 6) AS mean_death, round(stddev_pop(de), 6) AS std_death, min(de) AS min_death, max(de) AS max_death, round(avg(li), 6) AS mean_life, round(stddev_pop(li), 6) AS std_life, min(li) AS min_life, max(li) AS max_life
+  FROM (SELECT *, CASE WHEN death < 'infinity'::DOUBLE THEN death END AS de, CASE WHEN death < 'infinity'::DOUBLE THEN death - birth END AS li FROM d) GROUP BY diagram_id""")
+def sketch(spark, sf):
+    s = summary.sketch_statistics(I.shipping_diagram(spark, sf))
+    return rounded(s, *[f"{m}_{k}" for m in ("mean", "std") for k in ("birth", "death", "life")])
+
+
+@query("compact_summary", _SHIP + """, t AS (SELECT diagram_id, string_agg(CAST(CAST(p AS BIGINT) AS VARCHAR), ',' ORDER BY p DESC) AS lives FROM (SELECT *, row_number() OVER (PARTITION BY diagram_id ORDER BY p DESC, dim, birth, death) AS r FROM f) WHERE r <= 3 GROUP BY ALL),
+e AS (SELECT diagram_id, round(ln(sum(p)) - sum(CASE WHEN p > 0 THEN p * ln(p) END) / sum(p), 6) AS entropy FROM f GROUP BY ALL)
+SELECT diagram_id, count(*) FILTER (death = 'infinity'::DOUBLE AND dim = 0) AS b0, count(*) FILTER (death = 'infinity'::DOUBLE AND dim = 1) AS b1, any_value(lives) AS lives, any_value(entropy) AS entropy FROM d LEFT JOIN t USING (diagram_id) LEFT JOIN e USING (diagram_id) GROUP BY ALL""")
+def compact(spark, sf):
+    c = summary.compact_summary(I.shipping_diagram(spark, sf))
+    lives = F.array_join(F.transform("lives", lambda x: x.cast("long").cast("string")), ",")
+    return rounded(c, "entropy").withColumn("lives", lives)
+
+
+@query("interaction_summary", f"WITH {_TRIANGLES} SELECT cloud_id, CAST(dim + 1 AS INTEGER) AS \"order\", count(*) AS n, round(sum(f), 4) AS total, round(avg(f), 6) AS mean, round(max(f), 6) AS strongest FROM cx GROUP BY ALL")
+def interactions(spark, sf):
+    s = summary.interaction_summary(_part_complex(spark, sf))
+    return rounded(s, "mean", "strongest").withColumn("total", F.round("total", 4))
+
+
+@query("mapper_statistics", f"""{_COVER}, ed AS (SELECT count(*) AS e FROM (SELECT a.cover_index, b.cover_index FROM m a JOIN m b ON a.point_id = b.point_id AND a.cover_index < b.cover_index GROUP BY ALL))
+SELECT count(*) AS n_nodes, round(avg(size), 6) AS mean_size, round(stddev_samp(size), 6) AS std_size, any_value(e) AS n_edges, (SELECT count(DISTINCT point_id) FROM m) / (SELECT count(*) FROM p) AS coverage, round(2 * any_value(e) / count(*), 6) AS mean_degree FROM n CROSS JOIN ed""")
+def mapper_summary(spark, sf):
+    s = summary.mapper_statistics(*_price_mapper(spark, sf), load(spark, sf, "part").count())
+    return rounded(s, "mean_size", "std_size", "mean_degree")
+
+
+@query("topological_delta", f"""{_SUP}, q AS (SELECT CAST(diagram_id AS BIGINT) AS step, dim, floor(birth) AS b, floor(death) AS e, count(*) AS n FROM d GROUP BY ALL),
+g AS (SELECT step, dim, b, e, sum(n) AS n FROM (SELECT * FROM q UNION ALL SELECT step + 1, dim, b, e, -n FROM q WHERE step < (SELECT max(step) FROM q)) GROUP BY ALL)
+SELECT step, CAST(coalesce(sum(n) FILTER (n > 0), 0) AS BIGINT) AS appeared, CAST(coalesce(-sum(n) FILTER (n < 0), 0) AS BIGINT) AS vanished FROM g GROUP BY step""")
+def delta(spark, sf):
+    d = I.supplier_diagram(spark, sf)
+    return summary.topological_delta(d.select(F.col("diagram_id").cast("long").alias("step"), "dim", F.floor("birth").alias("birth"), F.floor("death").alias("death")))
+
+
+@query("stability_certificate", f"{_SUP} SELECT diagram_id, 0.26::DOUBLE AS bound, count(*) FILTER (p > 0.52) AS certain, count(*) FILTER (NOT p > 0.52) AS uncertain FROM f GROUP BY ALL")
+def certificate(spark, sf):
+    return summary.stability_certificate(I.supplier_diagram(spark, sf), 0.26)
+
+
+@query("trimmed_rows", f"WITH {I.EVENTS}, r AS (SELECT event_type AS diagram_id, event_id AS row, CASE WHEN event_id % 3 = 0 AND value < 40 THEN value ELSE 0 END AS birth, 0.0::DOUBLE AS death FROM e) SELECT diagram_id, count(*) AS n FROM r JOIN (SELECT diagram_id, max(row) AS m FROM r WHERE birth <> 0 GROUP BY ALL) USING (diagram_id) WHERE row <= m GROUP BY ALL")
+def trimmed(spark, sf):
+    e = I.event_series(spark, sf)
+    birth = F.when((F.col("event_id") % 3 == 0) & (F.col("value") < 40), F.col("value")).otherwise(0.0)
+    rows = e.select(F.col("event_type").alias("diagram_id"), F.col("event_id").alias("row"), birth.alias("birth"), F.lit(0.0).alias("death"))
+    return summary.trim_trailing(rows).groupBy("diagram_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("features_alive", f"WITH {I.EVENTS} SELECT event_id FROM e WHERE t >= (SELECT max(t) FROM e) - 86400")
+def alive_features(spark, sf):
+    e = I.event_series(spark, sf)
+    now = e.agg(F.max("t").alias("now"))
+    return summary.expired(e.crossJoin(F.broadcast(now)), "t", F.col("now"), 86400).select("event_id")
+
+
+@query("features_recent", f"WITH {I.EVENTS} SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) AS r FROM e) WHERE r <= 5")
+def recent_features(spark, sf):
+    return summary.least_recent_out(I.event_series(spark, sf).select("user_id", "t", "event_id"), "user_id", "t", 5).select("user_id", "event_id")
+
+
+_XY = I.PART_PLANE + """,
+ed AS (SELECT a.cloud_id, a.point_id AS src, b.point_id AS dst, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist
+  FROM plane a JOIN plane b ON a.cloud_id = b.cloud_id AND a.point_id < b.point_id WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 1.5),
+tri AS (SELECT a.cloud_id, a.src AS u, a.dst AS v, b.dst AS w, a.dist AS s1, b.dist AS s2, c.dist AS s3, abs((a.bx - a.ax) * (c.by_ - a.ay) - (c.bx - a.ax) * (a.by_ - a.ay)) / 2 AS area
+  FROM ed a JOIN ed b ON a.cloud_id = b.cloud_id AND a.dst = b.src JOIN ed c ON c.cloud_id = a.cloud_id AND c.src = a.src AND c.dst = b.dst)"""
+
+
+@query("triangle_measures", f"WITH {_XY} SELECT cloud_id, u || ',' || v || ',' || w AS s, round(area, 4) + 0.0 AS area, round(s1 + s2 + s3, 6) AS perimeter FROM tri")
+def triangles(spark, sf):
+    t = geometry.triangle_measures(_part_complex(spark, sf), I.part_plane(spark, sf))
+    return _named(t).select("cloud_id", "s", (F.round("area", 4) + F.lit(0.0)).alias("area"), r6("perimeter").alias("perimeter"))
+
+
+@query("cech_complex", f"""WITH {_XY}, r AS (SELECT cloud_id, 2 AS dim, CASE WHEN s1 * s1 + s2 * s2 + s3 * s3 - greatest(s1, s2, s3) * greatest(s1, s2, s3) <= greatest(s1, s2, s3) * greatest(s1, s2, s3) + 1e-9 THEN greatest(s1, s2, s3) / 2 ELSE s1 * s2 * s3 / (4 * area) END AS f FROM tri)
+SELECT cloud_id, CAST(dim AS INTEGER) AS dim, count(*) AS n, round(sum(f), 3) AS total FROM (SELECT cloud_id, 0 AS dim, 0.0::DOUBLE AS f FROM plane UNION ALL SELECT cloud_id, 1, dist / 2 FROM ed UNION ALL SELECT * FROM r WHERE f <= 0.75) GROUP BY ALL""")
+def cech(spark, sf):
+    c = geometry.cech_complex(I.part_plane(spark, sf), 0.75)
+    return c.groupBy("cloud_id", "dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("filtration"), 3).alias("total"))
+
+
+@query("dominated_edges", f"""WITH {I.PART_EDGES}, bo AS (SELECT cloud_id, src AS u, dst AS v FROM ed UNION ALL SELECT cloud_id, dst, src FROM ed)
+SELECT cloud_id, u AS src, v AS dst FROM bo x WHERE NOT EXISTS (SELECT 1 FROM bo y WHERE y.cloud_id = x.cloud_id AND y.u = x.u AND y.v <> x.v AND NOT EXISTS (SELECT 1 FROM bo z WHERE z.cloud_id = x.cloud_id AND z.u = x.v AND z.v = y.v))""")
+def dominated(spark, sf):
+    return geometry.dominated_edges(I.part_edges(spark, sf))
+
+
+@query("kernel_points", f"{_SUP} SELECT a.diagram_id, round(a.birth, 6) AS b1, round(a.death, 6) AS d1, round(b.birth, 6) AS b2, round(b.death, 6) AS d2, round(exp(-(pow(a.birth - b.birth, 2) + pow(a.death - b.death, 2)) / 2), 6) AS k FROM f a JOIN f b ON a.diagram_id = b.diagram_id WHERE a.dim = 0 AND b.dim = 1")
+def kernel_points(spark, sf):
+    d = I.supplier_diagram(spark, sf)
+    return rounded(kernels.gaussian_kernel_points(d.where("dim = 0"), d.where("dim = 1")), "b1", "d1", "b2", "d2", "k")
+
+
+@query("cross_similarity", f"{_SUP} SELECT a.diagram_id AS id_a, b.diagram_id AS id_b, round(sum(exp(-(pow(a.birth - b.birth, 2) + pow(a.death - b.death, 2)) / 0.5)), 5) AS k FROM f a CROSS JOIN f b WHERE a.dim = 0 AND b.dim = 1 GROUP BY ALL")
+def similarity(spark, sf):
+    d = I.supplier_diagram(spark, sf)
+    return kernels.cross_similarity(d.where("dim = 0"), d.where("dim = 1")).withColumn("k", F.round("k", 5))
+
+
+_AXIS = lambda c: f"""(SELECT point_id, i AS box FROM (SELECT p_partkey AS point_id, {c} AS z FROM part) CROSS JOIN (SELECT min({c}) - 0.01::DOUBLE * (max({c}) - min({c})) AS lo, max({c}) + 0.01::DOUBLE * (max({c}) - min({c})) AS hi FROM part) CROSS JOIN range(4) r(i)
+  WHERE z >= lo + i * ((hi - lo) / 4.0::DOUBLE) - (hi - lo) / 4.0::DOUBLE * 0.15::DOUBLE AND z <= lo + (i + 1) * ((hi - lo) / 4.0::DOUBLE) + (hi - lo) / 4.0::DOUBLE * 0.15::DOUBLE)"""
+
+
+@query("mapper_grid_cover", f"SELECT dense_rank() OVER (ORDER BY a, b) - 1 AS cover_index, n FROM (SELECT x.box AS a, y.box AS b, count(*) AS n FROM {_AXIS('CAST(p_size AS DOUBLE)')} x JOIN {_AXIS('p_retailprice')} y ON x.point_id = y.point_id GROUP BY ALL)")
+def grid_cover(spark, sf):
+    p = I.part_plane(spark, sf)
+    price = load(spark, sf, "part").select(F.col("p_partkey").alias("point_id"), F.col("p_retailprice").alias("price"))
+    c = mapper.grid_cover(p.join(price, "point_id"), [F.get("coords", F.lit(0)), F.col("price")], 4, 0.3)
+    return c.groupBy("cover_index").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("market_anomaly", f"""WITH {I.EVENTS}, w AS (SELECT event_id, (value - avg(value) OVER a) / greatest(stddev_pop(value) OVER a, 1e-12) AS zp, (user_id - avg(user_id) OVER a) / greatest(stddev_pop(user_id) OVER a, 1e-12) AS zv, count(*) OVER a AS n FROM e WINDOW a AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+s AS (SELECT event_id, greatest(0, (abs(zp) - 2) / 4) AS sp, greatest(0, (abs(zv) - 2) / 4) AS sv FROM w WHERE n >= 20)
+SELECT event_id, round((sp + sv + greatest(sp, sv)) / 2, 4) AS score, greatest(sp, sv) > 0.8 AS critical FROM s""")
+def market(spark, sf):
+    e = I.event_series(spark, sf).withColumn("volume", F.col("user_id").cast("double"))
+    full = F.count("value").over(Window.partitionBy("event_type").orderBy("event_id").rowsBetween(-20, -1))
+    m = anomaly.market_anomaly(e.withColumn("full", full), "event_type", "event_id", "value", "volume")
+    return m.where("full >= 20").select("event_id", F.round("score", 4).alias("score"), "critical")
+
+
 # series
 
 
@@ -807,9 +942,9 @@ def stream_hourly(spark, sf):
     return t.select(F.unix_timestamp("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-def entry(spark: SparkSession) -> DataFrame:
+def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """Component barcodes of each nation's supplier balances, as Betti curves."""
-    return h0_curve(spark, "/root/testdata/sf0.001")
+    return h0_curve(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

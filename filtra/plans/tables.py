@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def memoize(spark: SparkSession, folder: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What build returns, written as Parquet under the hash of the key in a shared folder and read from there the next time."""
+    path = f"{folder.rstrip('/')}/{hashlib.sha256(key.encode()).hexdigest()}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filtra.schema import CLOUD, DIAGRAM, INF, validate_diagram
@@ -76,7 +76,16 @@ def _parse_off(text: str) -> list[list[float]]:
         raise ValueError("not an OFF file")
     first = cells[0][1:] if len(cells[0]) > 1 else cells[1]
     body = cells[1:] if len(cells[0]) > 1 else cells[2:]
-    return [[float(v) for v in row[:3]] for row in body[: int(first[0])]]
+    n = int(first[0])
+    if len(body) < n or any(len(row) < 3 for row in body[:n]):
+        raise ValueError(f"the OFF file ends before its {n} vertices do")
+    return _checked([[float(v) for v in row[:3]] for row in body[:n]])
+
+
+def _checked(rows: list[list[float]]) -> list[list[float]]:
+    if not all(math.isfinite(v) for row in rows for v in row):
+        raise ValueError("coordinates must be finite")
+    return rows
 
 
 def _parse_ply(raw: bytes) -> list[list[float]]:
@@ -95,11 +104,13 @@ def _parse_ply(raw: bytes) -> list[list[float]]:
     if kind == "ascii":
         rows = [x.split() for x in body.decode("ascii").splitlines()[:n]]
         at = [[k for k, _ in names].index(c) for c in "xyz"]
-        return [[float(r[i]) for i in at] for r in rows]
+        if len(rows) < n or any(len(r) <= max(at) for r in rows):
+            raise ValueError(f"the PLY file ends before its {n} vertices do")
+        return _checked([[float(r[i]) for i in at] for r in rows])
     types = {"float": "f4", "float32": "f4", "double": "f8", "float64": "f8", "char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "int8": "i1", "uint8": "u1", "int16": "i2", "uint16": "u2", "int32": "i4", "uint32": "u4"}
     order = "<" if "little" in kind else ">"
     table = np.frombuffer(body, np.dtype([(k, order + types[t]) for k, t in names]), n)
-    return [[float(table[c][i]) for c in "xyz"] for i in range(n)]
+    return _checked([[float(table[c][i]) for c in "xyz"] for i in range(n)])
 
 
 def _parse_npy(raw: bytes) -> list[list[float]]:
@@ -128,6 +139,30 @@ def load_cloud(spark: SparkSession, path: str, kind: str | None = None) -> DataF
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, CLOUD)
 
 
+def npy_bytes(points: DataFrame) -> DataFrame:
+    """(cloud_id, value): an NPY file's bytes a cloud, points by point_id."""
+
+    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        np.save(out, np.array(pdf.sort_values("point_id")["coords"].tolist(), float))
+        return pd.DataFrame({"cloud_id": [str(key[0])], "value": [out.getvalue()]})
+
+    return points.select("cloud_id", "point_id", "coords").groupBy("cloud_id").applyInPandas(one, "cloud_id string, value binary")
+
+
+def off_with_faces(points: DataFrame, triangles: DataFrame) -> DataFrame:
+    """(cloud_id, value): like off_text, with triangles (cloud_id, vertices of point_id) as faces by their points' places."""
+    place = points.select("cloud_id", "point_id", (F.row_number().over(Window.partitionBy("cloud_id").orderBy("point_id")) - 1).alias("at"))
+    corner = triangles.select("cloud_id", F.col("vertices").alias("face"), F.posexplode("vertices").alias("i", "point_id")).distinct()
+    corner = corner.join(place, ["cloud_id", "point_id"]).groupBy("cloud_id", "face").agg(F.sort_array(F.collect_list(F.struct("i", "at"))).alias("c"))
+    line = F.concat_ws(" ", F.size("c").cast("string"), F.array_join(F.transform("c", lambda x: x["at"].cast("string")), " "))
+    faces = corner.select("cloud_id", line.alias("line")).groupBy("cloud_id").agg(F.sort_array(F.collect_list("line")).alias("faces"))
+    v = off_text(points).select("cloud_id", F.split("value", "\n").alias("v")).join(faces, "cloud_id", "left")
+    counts = F.concat_ws(" ", (F.size("v") - 2).cast("string"), F.greatest(F.size("faces"), F.lit(0)).cast("string"), F.lit("0"))
+    body = F.concat(F.slice("v", 3, 1 << 30), F.coalesce("faces", F.array().cast("array<string>")))
+    return v.select("cloud_id", F.concat_ws("\n", F.lit("OFF"), counts, F.array_join(body, "\n")).alias("value"))
+
+
 def off_text(points: DataFrame) -> DataFrame:
     """(cloud_id, value): an OFF file's text a cloud, vertices by point_id, no faces."""
     line = F.transform(F.array_sort(F.collect_list(F.struct("point_id", "coords"))), lambda s: F.array_join(F.transform(F.slice(s["coords"], 1, 3), lambda x: x.cast("string")), " "))
