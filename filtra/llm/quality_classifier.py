@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from filtra.llm.common import columns_of, held_out, new_column, read, words_space
 
-#: Labelled rows that the machine is fitted on, at most (in expectation).
-SAMPLE_ROWS = 12_000
+#: Labelled rows that the machine is fitted on, at most (in expectation), and bytes of inputs that the driver holds for it.
+SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 256 << 20
 #: Hashed words, bins a structure statistic, factors an input.
 WORD_BITS, BINS, FACTORS = 16, 12, 8
 _N_WORDS = 1 << WORD_BITS
@@ -145,10 +145,13 @@ def train_machine(
 
 def fit(
     docs: DataFrame, labels: DataFrame, train: Column, rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
-    text_col: str = "text", chars_col: str = "n_chars",
+    text_col: str = "text", chars_col: str = "n_chars", most_bytes: int = SAMPLE_BYTES,
 ) -> FactorMachine:
     """Fit on at most about `rows` labelled documents for whose _id `train` holds, chosen by a hash of the id.
 
+    Fewer are taken if their inputs could exceed most_bytes: a word of at least one
+    letter and its blank takes eight bytes, so a text takes four times its length at most.
+
     Of several labels of an id the smallest counts. Without labelled rows the machine
     gives one half to every document.
     """
@@ -156,8 +159,11 @@ def fit(
     few = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label")).where("_id IS NOT NULL AND label IN (0, 1)")
     few = few.where(train).groupBy("_id").agg(F.min("label").alias("label"))
     share = min(1.0, rows / max(1, few.count()))
-    few = few.where(F.pmod(F.xxhash64("_id", F.lit("quality")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    picked = docs.join(F.broadcast(few), "_id")  # bounded by `rows`
+    part = F.pmod(F.xxhash64("_id", F.lit("quality")), F.lit(1 << 20))
+    picked = docs.join(F.broadcast(few.where(part < int(share * (1 << 20)))), "_id")  # bounded by `rows`
+    held = 4 * (picked.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
+    if held > most_bytes:
+        picked = picked.where(part < int(share * most_bytes / held * (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -142,6 +142,15 @@ def test_quality_held_out(spark):
     assert scored.where("quality IS NULL").count() == 0
 
 
+def test_few_bytes_are_gathered(spark, monkeypatch):
+    docs, labels = corpus(spark)
+    seen = []
+    monkeypatch.setattr(Q, "train_machine", lambda data, label: seen.append(len(data)))
+    Q.fit(docs, labels, F.lit(True))
+    Q.fit(docs, labels, F.lit(True), most_bytes=600_000)
+    assert 0 < seen[1] < 0.7 * seen[0]
+
+
 def test_labels_and_source_never_enter_a_score(spark):
     docs, labels = corpus(spark, 200)
     other = docs.withColumn("lang", F.lit("xx")).withColumn("source", F.col("doc_id").cast("string"))
