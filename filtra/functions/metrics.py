@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,3 +79,56 @@ def metric(name: str | Callable[[Column, Column], Column]) -> Callable[[Column,
         return METRICS[name]
     except KeyError:
         raise ValueError(f"unknown metric {name!r}; known: {', '.join(METRICS)}") from None
+
+
+def between(x: np.ndarray, y: np.ndarray, name: str, step: int = 1 << 15) -> Iterator[tuple[slice, np.ndarray]]:
+    """(rows of x, their distances to all of y) under a metric by name, some rows at a time and coordinate by coordinate."""
+    name = {"l2": "euclidean", "l1": "manhattan", "cityblock": "manhattan", "linf": "chebyshev"}.get(name, name)
+    if name not in METRICS:
+        raise ValueError(f"unknown metric {name!r}; known: {', '.join(METRICS)}")
+    if name == "correlation":
+        x, y, name = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True), "cosine"
+    width = max(1, step // max(1, len(y)))
+    axes = np.ascontiguousarray(y.T)
+    size_y = np.sqrt((y * y).sum(1)) if name == "cosine" else None
+    for at in range(0, len(x), width):
+        rows = slice(at, min(at + width, len(x)))
+        part = x[rows]
+        out = np.zeros((len(part), len(y)))
+        if name == "cosine":
+            size = np.sqrt((part * part).sum(1))[:, None] * size_y[None, :]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                yield rows, np.where(size > 0, 1 - part @ y.T / size, 1.0)
+            continue
+        below = np.zeros_like(out) if name == "braycurtis" else None
+        d, cube = np.empty_like(out), np.empty_like(out)
+        for k in range(x.shape[1]):
+            a, b = part[:, k, None], axes[None, k]
+            np.subtract(a, b, out=d)
+            if name == "euclidean":
+                d *= d
+                out += d
+                continue
+            np.abs(d, out=d)
+            if name == "chebyshev":
+                np.maximum(out, d, out=out)
+            elif name == "minkowski":
+                np.multiply(d, d, out=cube)
+                cube *= d
+                out += cube
+            elif name == "canberra":
+                total = np.abs(a) + np.abs(b)
+                out += np.divide(d, total, out=np.zeros_like(d), where=total > 0)
+            else:
+                out += d
+                if below is not None:
+                    np.add(a, b, out=d)
+                    np.abs(d, out=d)
+                    below += d
+        if name == "euclidean":
+            np.sqrt(out, out=out)
+        elif name == "minkowski":
+            np.cbrt(out, out=out)
+        elif name == "braycurtis":
+            out = np.divide(out, below, out=np.zeros_like(out), where=below > 0)
+        yield rows, out

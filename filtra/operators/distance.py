@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filtra.functions.metrics import between
 from filtra.functions.metrics import metric as metric_of
+from filtra.operators import blocks
 from filtra.schema import EPS, INF
 
 
@@ -32,6 +35,41 @@ def cross_distances(left: DataFrame, right: DataFrame, metric="euclidean") -> Da
     return a.join(b, "cloud_id").select("cloud_id", "src", "dst", metric_of(metric)(F.col("a"), F.col("b")).alias("dist"))
 
 
+def pair_statistics(points: DataFrame, metric: str = "euclidean", others: DataFrame | None = None) -> DataFrame:
+    """(cloud_id, n, total, low, high): number, sum, least and largest of the distances of all pairs of each cloud.
+
+    With others: of every point to every one of the cloud's others. Equal points count
+    once, with a weight; two blocks meet in a task and only four numbers leave it.
+    """
+
+    def solve(left, right, same):
+        x, y = blocks.matrix_of(left["coords"]), blocks.matrix_of(right["coords"])
+        wx, wy = np.asarray(left["w"]), np.asarray(right["w"])
+        n, total, low, high = 0, 0.0, np.inf, -np.inf
+        for rows, d in between(x, y, metric):
+            w = wx[rows, None] * wy[None, :]
+            if same:  # each pair of different points once, and the pairs of equal ones
+                at = np.arange(rows.start, rows.stop)
+                w[np.arange(len(x))[None, :] < at[:, None]] = 0
+                w[np.arange(len(at)), at] = wx[rows] * (wx[rows] - 1) // 2
+                d = np.where(w > 0, d, 0.0)
+                there = w > 0
+                if not there.any():
+                    continue
+                low, high = min(low, np.min(d, where=there, initial=np.inf)), max(high, np.max(d, where=there, initial=-np.inf))
+            else:
+                low, high = min(low, d.min()), max(high, d.max())
+            n += int(w.sum())
+            total += float((d * w).sum())
+        if n:
+            yield {"n": np.array([n]), "total": np.array([total]), "low": np.array([low]), "high": np.array([high])}
+
+    once = lambda p: p.groupBy("cloud_id", "coords").agg(F.count(F.lit(1)).alias("w"))
+    schema = f"cloud_id {dict(points.dtypes)['cloud_id']}, n long, total double, low double, high double"
+    parts = blocks.block_pairs(once(points), solve, schema) if others is None else blocks.block_crossings(once(points), once(others), solve, schema)
+    return parts.groupBy("cloud_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
 def range_edges(points: DataFrame, radius: float, metric="euclidean", grid_dims: int = 3) -> DataFrame:
     """Pairs src < dst at most radius apart.
 
