@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filtra.plans.tables import load
 
 
+def half_away(c: Column, places: int) -> Column:
+    """c to so many places as SQL engines on doubles do it: scaled, rounded half away from zero, scaled back.
+
+    `round` takes the half from the decimal form instead: 1.005 has 1.01 there and 1.0 here.
+    """
+    scale = float(10**places)
+    return F.when(F.abs(c) < 1e9, F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale).otherwise(F.round(c, places))
+
+
 def supplier_line(spark: SparkSession, sf: str) -> DataFrame:
     """One-dimensional clouds: account balances of each nation's suppliers, in thousands."""
     s = load(spark, sf, "supplier")
@@ -56,7 +65,7 @@ f AS (SELECT *, death - birth AS p FROM d WHERE death < 'infinity'::DOUBLE)"""
 def supplier_diagram(spark: SparkSession, sf: str) -> DataFrame:
     """Small diagrams: a pair a supplier, by region."""
     s = load(spark, sf, "supplier").join(load(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    birth = F.round(F.col("s_acctbal") / 1000, 2)
+    birth = half_away(F.col("s_acctbal") / 1000, 2)
     return s.select(
         F.col("n_regionkey").cast("string").alias("diagram_id"), F.pmod("s_suppkey", F.lit(2)).cast("int").alias("dim"),
         birth.alias("birth"), (birth + (1 + F.pmod(F.col("s_suppkey") * 7, F.lit(13))) / 10.0).alias("death"),
