@@ -76,6 +76,26 @@ def test_halves_match_sql(spark, tmp_path, name):
     assert rows == sorted(tuple(r[i] for i in at) for r in want.fetchall())
 
 
+def test_matching_of_many_points_is_quick():
+    import time
+
+    import numpy as np
+
+    from filtra.functions import assign
+
+    rng = np.random.default_rng(1)
+    a, b = rng.random((6000, 2)), rng.random((6000, 2))
+    began = time.perf_counter()
+    rows = assign.greedy_match(a, b, 0.05)
+    assert time.perf_counter() - began < 5  # a list of 6,000 by 6,000 gaps took minutes
+    left = list(range(300))
+    for i, j, g in assign.greedy_match(a[:300], b[:300]):
+        gaps = [float(np.abs(b[k] - a[i]).max()) for k in left]
+        assert (j, g) == (left[int(np.argmin(gaps))], min(gaps))
+        left.remove(j)
+    assert len({j for _, j, _ in rows}) == len(rows)
+
+
 def test_drift_of_long_series_is_the_same(spark):
     import numpy as np
 
