@@ -198,14 +198,19 @@ def replay(events: Iterable[tuple[str, Sequence[int]]]) -> set[Simplex]:
     return there
 
 
-def farthest_points(points: np.ndarray, k: int) -> list[int]:
-    """k indices: the first, then always the farthest from those taken; the first of equals."""
+def farthest_points(points: np.ndarray, k: int, cover: float = -math.inf) -> list[int]:
+    """k indices: the first, then always the farthest from those taken; the first of equals.
+
+    Ends as soon as all points lie within cover of those taken.
+    """
     if not len(points) or k <= 0:
         return []
     taken = [0]
     gap = np.linalg.norm(points - points[0], axis=1)
     while len(taken) < min(k, len(points)):
         i = int(np.argmax(gap))
+        if gap[i] <= cover:
+            break
         taken.append(i)
         gap = np.minimum(gap, np.linalg.norm(points - points[i], axis=1))
     return taken

@@ -144,13 +144,8 @@ def sparse_rips(points: DataFrame, cover: float, max_dim: int = 1) -> DataFrame:
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.array(pdf.sort_values("point_id")["coords"].tolist(), dtype=float)
-        order = R.farthest_points(x, len(x))
-        gap, n = np.full(len(x), np.inf), 0
-        for i in order:
-            if gap[i] <= cover:
-                break
-            gap, n = np.minimum(gap, np.linalg.norm(x - x[i], axis=1)), n + 1
-        return _frame(key[0], R.vr_pairs(R.distances(x[order[:n]]), max_dim))
+        order = R.farthest_points(x, len(x), cover)
+        return _frame(key[0], R.vr_pairs(R.distances(x[order]), max_dim))
 
     return points.select("cloud_id", "point_id", "coords").groupBy("cloud_id").applyInPandas(one, DIAGRAM)
 

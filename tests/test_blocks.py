@@ -96,6 +96,16 @@ def test_matching_of_many_points_is_quick():
     assert len({j for _, j, _ in rows}) == len(rows)
 
 
+def test_cover_ends_when_it_covers():
+    import numpy as np
+
+    from filtra.functions import reduce as R
+
+    x = np.random.default_rng(2).random((200_000, 2))
+    at = R.farthest_points(x, len(x), 0.25)  # all 200,000 in turn took hours
+    assert len(at) < 60 and at == R.farthest_points(x, len(at))
+
+
 def test_drift_of_long_series_is_the_same(spark):
     import numpy as np
 
