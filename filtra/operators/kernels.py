@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from filtra.operators.blocks import grouped, spread
 from filtra.operators.diagram import KEY, finite_pairs, persistence
 
 
@@ -17,46 +19,94 @@ def pair_ids(d: DataFrame, itself: bool = True) -> DataFrame:
     return a.join(b, F.col("id_a") <= F.col("id_b") if itself else F.col("id_a") < F.col("id_b"))
 
 
-def _products(d: DataFrame) -> DataFrame:
-    """Pairs of points of each two diagrams, from finite pairs that are equal counted once with a weight."""
-    f = finite_pairs(d).groupBy(KEY, "birth", "death").agg(F.count(F.lit(1)).alias("n"))
-    a = f.select(F.col(KEY).alias("id_a"), F.col("birth").alias("b1"), F.col("death").alias("d1"), F.col("n").alias("n1"))
-    b = f.select(F.col(KEY).alias("id_b"), F.col("birth").alias("b2"), F.col("death").alias("d2"), F.col("n").alias("n2"))
-    return pair_ids(f).join(a, "id_a").join(b, "id_b")
+#: Different points of a block of a diagram; a task holds two blocks.
+POINT_BLOCK = 2048
 
 
-def _square() -> Column:
-    return F.pow(F.col("b1") - F.col("b2"), F.lit(2.0)) + F.pow(F.col("d1") - F.col("d2"), F.lit(2.0))
+def _weighted(d: DataFrame) -> DataFrame:
+    """Finite pairs, equal ones once with their number n."""
+    return finite_pairs(d).groupBy(KEY, "birth", "death").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _total(value: Column) -> Column:
-    return F.sum(F.col("n1") * F.col("n2") * value)
+def _dealt(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points with their block, and a row (diagram, block) for each."""
+    size = points.groupBy(KEY).agg(F.ceil(F.count(F.lit(1)) / POINT_BLOCK).cast("int").alias("_n"))
+    p = points.join(size, KEY).withColumn("_block", F.pmod(F.xxhash64("birth", "death"), F.col("_n")).cast("int")).drop("_n")
+    return p, size.select(KEY, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_block"))
+
+
+def _block_products(left: DataFrame, right: DataFrame, fold, schema: str, upper: bool = True) -> DataFrame:
+    """fold(left arrays, right arrays), each (births, deaths, counts), over every two blocks of each two diagrams.
+
+    upper: of diagrams id_a <= id_b only. The sides hold different points with their
+    numbers; what is quadratic stays in a task's two blocks.
+    """
+    (a, blocks_a), (b, blocks_b) = _dealt(left), _dealt(right)
+    on = (F.col("id_a") <= F.col("id_b")) if upper else F.lit(True)
+    cols = ["id_a", "i", "id_b", "j", "birth", "death", "n"]
+    name = lambda d, key, block: d.withColumnsRenamed({KEY: key, "_block": block})
+    a = name(a, "id_a", "i").join(name(blocks_b, "id_b", "j"), on).select(*cols, F.lit(0).alias("side"))
+    b = name(b, "id_b", "j").join(name(blocks_a, "id_a", "i"), on).select(*cols, F.lit(1).alias("side"))
+
+    def solve(key, table):
+        side = np.asarray(table["side"])
+        x, y = (tuple(np.asarray(table[c])[side == k] for c in ("birth", "death", "n")) for k in (0, 1))
+        return fold(x, y)
+
+    return grouped(a.unionByName(b), ["id_a", "i", "id_b", "j"], solve, schema)
+
+
+def _steps(x: tuple, y: tuple):
+    """Rows of x at a time, as columns over all of y; few enough to stay in the cache."""
+    width = max(1, (1 << 15) // max(1, len(y[0])))
+    for at in range(0, len(x[0]), width):
+        rows = slice(at, at + width)
+        yield rows, x[0][rows, None], x[1][rows, None], y[0][None, :], y[1][None, :]
+
+
+def _kernel_sums(left: DataFrame, right: DataFrame, value, upper: bool = True) -> DataFrame:
+    """(id_a, id_b, k): sums of value(b1, d1, b2, d2) over all pairs of points of each two diagrams."""
+
+    def fold(x, y):
+        total, n2 = 0.0, y[2].astype(float)
+        for rows, b1, d1, b2, d2 in _steps(x, y):
+            total += float(x[2][rows] @ (value(b1, d1, b2, d2) @ n2))
+        yield {"k": np.array([total])}
+
+    kinds = dict(left.dtypes)[KEY], dict(right.dtypes)[KEY]
+    sums = _block_products(left, right, fold, f"id_a {kinds[0]}, id_b {kinds[1]}, k double", upper)
+    return sums.groupBy("id_a", "id_b").agg(F.sum("k").alias("k"))
+
+
+def _square(b1, d1, b2, d2):
+    return (b1 - b2) ** 2 + (d1 - d2) ** 2
 
 
 def gaussian_kernel(d: DataFrame, sigma: float = 1.0) -> DataFrame:
     """(id_a, id_b, k): sum of exp(-distance^2 / 2 sigma^2) over the pairs of points."""
-    return _products(d).groupBy("id_a", "id_b").agg(_total(F.exp(-_square() / (2 * sigma * sigma))).alias("k"))
+    f = _weighted(d)
+    return _kernel_sums(f, f, lambda *p: np.exp(_square(*p) / (-2 * sigma * sigma)))
 
 
 def scale_space_kernel(d: DataFrame, sigma: float = 1.0, weight: float = 0.5) -> DataFrame:
     """Like the Gaussian, on a mix of the distance and the difference of persistence."""
-    life = F.pow((F.col("d1") - F.col("b1")) - (F.col("d2") - F.col("b2")), F.lit(2.0))
-    value = F.exp(-((1 - weight) * _square() + weight * life) / (2 * sigma * sigma))
-    return _products(d).groupBy("id_a", "id_b").agg(_total(value).alias("k"))
+    f = _weighted(d)
+    life = lambda b1, d1, b2, d2: ((d1 - b1) - (d2 - b2)) ** 2
+    return _kernel_sums(f, f, lambda *p: np.exp(((1 - weight) * _square(*p) + weight * life(*p)) / (-2 * sigma * sigma)))
 
 
 def heat_kernel(d: DataFrame, sigma: float = 1.0) -> DataFrame:
     """The persistence scale-space kernel: Gaussians less those mirrored at the diagonal."""
-    mirror = F.pow(F.col("b1") - F.col("d2"), F.lit(2.0)) + F.pow(F.col("d1") - F.col("b2"), F.lit(2.0))
-    value = (F.exp(-_square() / (8 * sigma)) - F.exp(-mirror / (8 * sigma))) / (8 * math.pi * sigma)
-    return _products(d).groupBy("id_a", "id_b").agg(_total(value).alias("k"))
+    f = _weighted(d)
+    mirror = lambda b1, d1, b2, d2: (b1 - d2) ** 2 + (d1 - b2) ** 2
+    return _kernel_sums(f, f, lambda *p: (np.exp(_square(*p) / (-8 * sigma)) - np.exp(mirror(*p) / (-8 * sigma))) / (8 * math.pi * sigma))
 
 
 def fisher_kernel(d: DataFrame, sigma: float = 1.0) -> DataFrame:
     """The Gaussian kernel of diagrams whose points weigh their share of the persistence."""
-    life1, life2 = F.col("d1") - F.col("b1"), F.col("d2") - F.col("b2")
+    f = _weighted(d)
     total = finite_pairs(d).groupBy(KEY).agg(F.sum(persistence()).alias("t"))
-    j = _products(d).groupBy("id_a", "id_b").agg(_total(life1 * life2 * F.exp(-_square() / (2 * sigma * sigma))).alias("s"))
+    j = _kernel_sums(f, f, lambda b1, d1, b2, d2: (d1 - b1) * (d2 - b2) * np.exp(_square(b1, d1, b2, d2) / (-2 * sigma * sigma))).withColumnRenamed("k", "s")
     j = j.join(total.select(F.col(KEY).alias("id_a"), F.col("t").alias("ta")), "id_a").join(total.select(F.col(KEY).alias("id_b"), F.col("t").alias("tb")), "id_b")
     return j.select("id_a", "id_b", F.coalesce(F.try_divide("s", F.col("ta") * F.col("tb")), F.lit(0.0)).alias("k"))
 
@@ -118,11 +168,20 @@ def centre_matrix(kernel: DataFrame) -> DataFrame:
 
 def nearest_gaps(d: DataFrame) -> DataFrame:
     """(id_a, id_b, gap_ab, gap_ba means and maxima): from each point to the nearest of the other diagram, L-infinity."""
-    p = _products(d)
-    gap = F.greatest(F.abs(F.col("b1") - F.col("b2")), F.abs(F.col("d1") - F.col("d2")))
-    p = p.withColumn("gap", gap)
-    ab = p.groupBy("id_a", "id_b", "b1", "d1", "n1").agg(F.min("gap").alias("gap"))
-    ba = p.groupBy("id_a", "id_b", "b2", "d2", "n2").agg(F.min("gap").alias("gap"))
+    def fold(x, y):
+        near = np.full(len(y[0]), np.inf)
+        far = np.empty(len(x[0]))
+        for rows, b1, d1, b2, d2 in _steps(x, y):
+            gap = np.maximum(np.abs(b1 - b2), np.abs(d1 - d2))
+            far[rows] = gap.min(1, initial=np.inf)
+            np.minimum(near, gap.min(0, initial=np.inf), out=near)
+        for side, own, gap in ((0, x, far), (1, y, near)):
+            yield {"side": np.full(len(gap), side, np.int32), "b": own[0], "d": own[1], "n": own[2], "gap": gap}
+
+    f, kind = _weighted(d), dict(d.dtypes)[KEY]
+    rows = _block_products(f, f, fold, f"id_a {kind}, id_b {kind}, side int, b double, d double, n long, gap double")
+    least = rows.groupBy("id_a", "id_b", "side", "b", "d", "n").agg(F.min("gap").alias("gap")).where("gap < double('infinity')")
+    ab, ba = (least.where(F.col("side") == k).withColumnRenamed("n", f"n{k + 1}") for k in (0, 1))
     ab = ab.groupBy("id_a", "id_b").agg(F.max("gap").alias("max_ab"), (F.sum(F.col("gap") * F.col("n1")) / F.sum("n1")).alias("mean_ab"))
     ba = ba.groupBy("id_a", "id_b").agg(F.max("gap").alias("max_ba"), (F.sum(F.col("gap") * F.col("n2")) / F.sum("n2")).alias("mean_ba"))
     return ab.join(ba, ["id_a", "id_b"])
@@ -163,10 +222,18 @@ def similar_vectors(vectors: DataFrame, limit: float, bucket: float = 1.0, table
 
 
 def gaussian_kernel_points(a: DataFrame, b: DataFrame, sigma: float = 1.0) -> DataFrame:
-    """(diagram_id, b1, d1, b2, d2, k): the Gaussian of every two finite points of a diagram's a side and b side."""
-    x = finite_pairs(a).where(persistence() > 0).select(KEY, F.col("birth").alias("b1"), F.col("death").alias("d1"))
-    y = finite_pairs(b).where(persistence() > 0).select(KEY, F.col("birth").alias("b2"), F.col("death").alias("d2"))
-    return x.join(y, KEY).withColumn("k", F.exp(-_square() / (2 * sigma * sigma)))
+    """(diagram_id, b1, d1, b2, d2, k): the Gaussian of every two finite points of a diagram's a side and b side.
+
+    Every pair is a row of the result; both sides are dealt into blocks, so that one
+    diagram's pairs come from many tasks.
+    """
+    x, y = (_dealt(finite_pairs(d).where(persistence() > 0).select(KEY, "birth", "death")) for d in (a, b))
+    each = lambda side, other, own, far: side[0].withColumnRenamed("_block", own).join(other[1].withColumnRenamed("_block", far), KEY)
+    p = each(x, y, "_i", "_j").select(KEY, "_i", "_j", F.col("birth").alias("b1"), F.col("death").alias("d1"))
+    q = each(y, x, "_j", "_i").select(KEY, "_i", "_j", F.col("birth").alias("b2"), F.col("death").alias("d2"))
+    square = (F.col("b1") - F.col("b2")) * (F.col("b1") - F.col("b2")) + (F.col("d1") - F.col("d2")) * (F.col("d1") - F.col("d2"))
+    j = spread(p, KEY, "_i", "_j").join(spread(q, KEY, "_i", "_j"), [KEY, "_i", "_j"])
+    return j.select(KEY, "b1", "d1", "b2", "d2", F.exp(-square / (2 * sigma * sigma)).alias("k"))
 
 
 def cross_similarity(left: DataFrame, right: DataFrame, sigma: float = 0.5) -> DataFrame:
@@ -175,10 +242,4 @@ def cross_similarity(left: DataFrame, right: DataFrame, sigma: float = 0.5) -> D
     All pairs of diagrams are the result; equal points of a diagram count once, with a weight.
     """
 
-    def points(d: DataFrame, i: int, tag: str) -> DataFrame:
-        f = finite_pairs(d).groupBy(KEY, "birth", "death").agg(F.count(F.lit(1)).alias("n"))
-        return f.select(F.col(KEY).alias(f"id_{tag}"), F.col("birth").alias(f"b{i}"), F.col("death").alias(f"d{i}"), F.col("n").alias(f"n{i}"))
-
-    ids = left.select(F.col(KEY).alias("id_a")).distinct().crossJoin(right.select(F.col(KEY).alias("id_b")).distinct())
-    j = ids.join(points(left, 1, "a"), "id_a").join(points(right, 2, "b"), "id_b")
-    return j.groupBy("id_a", "id_b").agg(_total(F.exp(-_square() / (2 * sigma * sigma))).alias("k"))
+    return _kernel_sums(_weighted(left), _weighted(right), lambda *p: np.exp(_square(*p) / (-2 * sigma * sigma)), upper=False)

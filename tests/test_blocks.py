@@ -76,6 +76,58 @@ def test_halves_match_sql(spark, tmp_path, name):
     assert rows == sorted(tuple(r[i] for i in at) for r in want.fetchall())
 
 
+@pytest.fixture(scope="module")
+def diagrams(spark):
+    i = F.col("id")
+    birth = (i * 37 % 19).cast("double") / 4
+    return spark.range(120).select((i % 3).cast("string").alias("diagram_id"), (i % 2).cast("int").alias("dim"), birth.alias("birth"), (birth + (i % 7) / 2.0).alias("death"))
+
+
+@pytest.mark.parametrize("name", ["gaussian", "scale_space", "heat", "fisher"])
+def test_kernels_by_blocks(diagrams, monkeypatch, name):
+    import math
+
+    from filtra.operators import kernels
+
+    monkeypatch.setattr(kernels, "POINT_BLOCK", 5)
+    found = getattr(kernels, f"{name}_kernel")(diagrams)
+    assert "b1#" not in plan(found)  # no row a pair of points
+    points = {}
+    for r in diagrams.collect():
+        points.setdefault(r.diagram_id, []).append((r.birth, r.death))
+    sq = lambda a, b: (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2
+    life = lambda a: a[1] - a[0]
+    value = {
+        "gaussian": lambda a, b: math.exp(-sq(a, b) / 2),
+        "scale_space": lambda a, b: math.exp(-(sq(a, b) + (life(a) - life(b)) ** 2) / 4),
+        "heat": lambda a, b: (math.exp(-sq(a, b) / 8) - math.exp(-sq(a, b[::-1]) / 8)) / 8 / math.pi,
+        "fisher": lambda a, b: life(a) * life(b) * math.exp(-sq(a, b) / 2),
+    }[name]
+    norm = {k: sum(map(life, v)) if name == "fisher" else 1 for k, v in points.items()}
+    got = {(r.id_a, r.id_b): r.k for r in found.collect()}
+    assert len(got) == 6
+    for (a, b), k in got.items():
+        assert k == pytest.approx(sum(value(x, y) for x in points[a] for y in points[b]) / norm[a] / norm[b])
+
+
+def test_gaps_and_points_by_blocks(diagrams, monkeypatch):
+    from filtra.operators import kernels
+
+    whole = [sorted(map(str, f.collect())) for f in (kernels.hausdorff(diagrams), kernels.chamfer(diagrams).withColumn("dist", F.round("dist", 9)))]
+    monkeypatch.setattr(kernels, "POINT_BLOCK", 5)
+    found = kernels.hausdorff(diagrams)
+    assert "b1#" not in plan(found)
+    assert whole == [sorted(map(str, f.collect())) for f in (found, kernels.chamfer(diagrams).withColumn("dist", F.round("dist", 9)))]
+    a, b = diagrams.where("dim = 0"), diagrams.where("dim = 1")
+    pairs = kernels.gaussian_kernel_points(a, b)
+    assert "_i#" in plan(pairs)  # dealt by blocks, not by diagrams alone
+    n = a.where("death > birth").alias("a").join(b.where("death > birth").alias("b"), "diagram_id").count()
+    assert pairs.count() == n
+    k = {(r.id_a, r.id_b): r.k for r in kernels.cross_similarity(a, b, 1.0).collect()}
+    own = pairs.groupBy("diagram_id").agg(F.sum("k").alias("k")).collect()
+    assert len(k) == 9 and all(r.k <= k[r.diagram_id, r.diagram_id] for r in own)
+
+
 def test_matching_of_many_points_is_quick():
     import time
 
