@@ -190,3 +190,99 @@ def test_step_up_ranges(spark):
         for r in range(len(p), 0, -1):
             rate = min(rate, p[r - 1] * len(p) / r)
             assert got[f, p[r - 1]] == pytest.approx(rate) or (r < len(p) and p[r] == p[r - 1])
+
+
+RADIUS = 0.9
+
+
+@pytest.fixture(scope="module")
+def simplices(cloud):
+    from filtra.operators import complexes
+
+    p = cloud.withColumn("coords", F.col("coords"))
+    return complexes.flag_complex(complexes.vertices_of(p), distance.pairwise(p).where(F.col("dist") <= RADIUS), 2).localCheckpoint()
+
+
+def rows(df) -> list:
+    return sorted(str([x if not isinstance(x, float) else round(x, 7) + 0.0 for x in r]) for r in df.collect())
+
+
+def joins_on_points_only(df) -> bool:
+    """No edge or triangle is a row of a shuffle or a join."""
+    p = plan(df)
+    return "src#" not in p.split("FlatMapGroupsInArrow", 1)[1] and "SortMergeJoin [src" not in p
+
+
+def test_rips_by_cells(cloud, simplices, small_blocks):
+    from filtra.operators import complexes
+
+    c = complexes.vietoris_rips(cloud, RADIUS)
+    assert "Join [cloud_id#" not in plan(c).split("FlatMapGroupsInArrow")[0]
+    assert rows(c.select(*complexes.COLUMNS)) == rows(simplices.select(*complexes.COLUMNS))
+
+
+def test_weights_travel_with_points(cloud, small_blocks):
+    from filtra.operators import complexes
+
+    w = cloud.select("cloud_id", "point_id", (F.col("point_id") / 90).alias("weight"))
+    for how in ("inverse_distance", "exponential", "linear"):
+        got = complexes.weighted_range_edges(cloud, w, RADIUS, how)
+        assert plan(got).split("FlatMapGroupsInArrow")[0].count("Join") == 0
+        assert rows(got) == rows(complexes.weighted_edges(distance.pairwise(cloud).where(F.col("dist") <= RADIUS), w, how))
+
+
+def test_counts_of_classes(cloud, simplices, small_blocks):
+    from filtra.operators import complexes, graph
+
+    n = complexes.rips_counts(cloud, RADIUS)
+    assert joins_on_points_only(n)
+    assert rows(n.selectExpr("cloud_id", "n0 - n1 + n2")) == rows(complexes.euler_characteristic(simplices).select("cloud_id", "euler"))
+    trace = complexes.laplacian(simplices, 1).where("row = col").groupBy("cloud_id").agg(F.sum("value"))
+    assert rows(n.selectExpr("cloud_id", "2 * n1 + 3 * n2")) == rows(trace)
+    at = complexes.neighbour_counts(cloud, RADIUS).where("degree > 1").selectExpr("point_id", "2.0D * triangles / (degree * (degree - 1)) AS c")
+    assert rows(at) == rows(graph.clustering(distance.pairwise(cloud).where(F.col("dist") <= RADIUS)))
+    entries = complexes.laplacian(simplices.where("dim < 2"), 0).selectExpr("cloud_id", "row[0]", "col[0]", "value")
+    assert rows(complexes.graph_laplacian(cloud, RADIUS)) == rows(entries)
+
+
+def test_folds_of_triangles(cloud, simplices, small_blocks):
+    from filtra.operators import complexes, geometry
+
+    closed = complexes.closure(simplices.where("dim = 2")).groupBy("cloud_id", "dim").agg(F.count(F.lit(1)), F.sum("filtration"))
+    assert rows(complexes.rips_closure(cloud, RADIUS).select("cloud_id", "dim", "n", "total")) == rows(closed)
+    ordered = complexes.ordered(simplices).groupBy("cloud_id", "dim").agg(F.count(F.lit(1)), F.sum("place"))
+    found = complexes.places(simplices)
+    assert "row_number" not in plan(found) and rows(found.select("cloud_id", "dim", "n", "places")) == rows(ordered)
+    assert complexes.boundary(simplices, closed=True).count() == complexes.boundary(simplices).count()
+    assert "Join" not in plan(complexes.boundary(simplices, closed=True))
+    e = distance.pairwise(cloud).where(F.col("dist") <= RADIUS)
+    assert rows(geometry.range_dominated_edges(cloud, RADIUS)) == rows(geometry.dominated_edges(e))
+    assert complexes.missing_rips_faces(cloud, RADIUS).isEmpty()
+    faces = complexes.rips_faces(cloud, RADIUS).distinct()
+    assert faces.count() == complexes.closure(simplices.where("dim = 2")).where("dim = 1").count()
+
+
+def test_cech_by_cells(cloud, simplices, small_blocks):
+    from filtra.operators import geometry
+
+    t = geometry.with_corners(simplices.where("dim = 2"), cloud, 3)
+    t = t.withColumn("f", geometry.enclosing_radius(F.col("p0"), F.col("p1"), F.col("p2"))).where(F.col("f") <= RADIUS / 2)
+    got = geometry.cech_complex(cloud, RADIUS / 2)
+    assert rows(got.where("dim = 2").select("cloud_id", "vertices", "filtration")) == rows(t.select("cloud_id", "vertices", "f"))
+    assert got.where("dim = 1").count() == simplices.where("dim = 1").count()
+
+
+def test_critical_simplices(cloud, simplices, small_blocks):
+    """Of the Euler characteristic's alternating sum, and matched: far fewer triangles are critical than there are."""
+    from filtra.operators import complexes, morse
+
+    n = morse.rips_critical(cloud, RADIUS)
+    euler = n.groupBy("cloud_id").agg(F.sum(F.when(F.col("dim") == 1, -F.col("n")).otherwise(F.col("n"))).alias("e"))
+    assert rows(euler) == rows(complexes.euler_characteristic(simplices).select("cloud_id", "euler"))
+    every = {(r.cloud_id, r.dim): r["count"] for r in simplices.groupBy("cloud_id", "dim").count().collect()}
+    left = {(r.cloud_id, r.dim): r.n for r in n.collect()}
+    best = {(r.cloud_id, r.dim): r["count"] for r in morse.morse_matching(simplices).where("partner IS NULL").groupBy("cloud_id", "dim").count().collect()}
+    for k, m in left.items():
+        assert 0 <= m <= every[k]
+        assert m >= best.get(k, 0) or k[1] == 0
+    assert all(left[c, 1] < every[c, 1] / 2 for c in ("0", "1"))
