@@ -286,3 +286,104 @@ def test_critical_simplices(cloud, simplices, small_blocks):
         assert 0 <= m <= every[k]
         assert m >= best.get(k, 0) or k[1] == 0
     assert all(left[c, 1] < every[c, 1] / 2 for c in ("0", "1"))
+
+
+def test_matchings_of_one_birth():
+    import math
+    import time
+
+    import numpy as np
+
+    from filtra.functions import assign
+
+    rng = np.random.default_rng(4)
+    deaths = lambda n: np.c_[np.full(n, 1.0), 1 + np.round(rng.random(n) * 3, 1)]
+    for _ in range(60):
+        a, b = deaths(rng.integers(0, 8)), deaths(rng.integers(1, 8))
+        for p, q in ((2.0, 2.0), (1.0, math.inf), (3.0, 1.0)):
+            assert assign.wasserstein(a, b, p, q) == pytest.approx(assign.hungarian(assign.padded_cost(a, b, p, q))[1] ** (1 / p))
+        cost = assign.padded_cost(a, b, 1.0, math.inf)
+        fits = lambda r: assign._perfect([np.flatnonzero(row <= r).tolist() for row in cost], len(cost))  # noqa: B023, E731
+        assert assign.bottleneck(a, b) == min(r for r in np.unique(cost) if fits(r))
+    a, b = np.c_[np.zeros(3000), rng.random(3000)], np.c_[np.zeros(3000), rng.random(3000)]
+    began = time.perf_counter()
+    assign.wasserstein(a, b)
+    assign.bottleneck(a, b)
+    assert time.perf_counter() - began < 5  # assignments of 6,000 rows took minutes
+
+
+def test_forest_of_points(cloud, monkeypatch):
+    """With ties, the very edges of the forest of all pairs, whatever the blocks."""
+    from filtra.operators import graph
+
+    want = rows(graph.spanning_forest(distance.pairwise(cloud)).select("cloud_id", "src", "dst", "dist"))
+    monkeypatch.setattr(graph, "FOREST_VALUES", 32 * 12)
+    assert rows(graph.point_forest(cloud)) == want
+    monkeypatch.setattr(graph, "FOREST_EDGES", 1)
+    assert rows(graph.point_forest(cloud)) == want
+
+
+def test_graph_of_points_without_its_edges(cloud, monkeypatch):
+    from filtra.operators import graph, persistence
+
+    monkeypatch.setattr(graph, "FOREST_VALUES", 32 * 12)
+    e = distance.pairwise(cloud).where("dist <= 0.3")
+    v = cloud.select(F.col("point_id").alias("v"))
+    assert rows(graph.components(v, graph.point_forest(cloud).where("dist <= 0.3"))) == rows(graph.components(v, e))
+    assert rows(graph.point_betti(cloud, 0.3)) == rows(graph.betti(v, e))
+    assert rows(persistence.components_diagram(cloud)) == rows(persistence.components_diagram(cloud, distance.pairwise(cloud)))
+
+
+def test_lengths_without_a_matrix():
+    import numpy as np
+
+    from filtra.functions import reduce as R
+    from filtra.functions import rips
+
+    x = np.random.default_rng(5).random((60, 3))
+    for radius in (None, 0.2):
+        lengths, roots = rips.point_lengths(x, "euclidean", radius)
+        want, n = rips.component_lengths(R.distances(x), np.inf if radius is None else radius)
+        assert roots == n and sorted(lengths) == pytest.approx(sorted(want))
+
+
+def test_linkage_of_sets_by_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from filtra.operators import graph, mapper
+
+    monkeypatch.setattr(graph, "FOREST_VALUES", 32 * 12)
+    x = np.random.default_rng(6).random((80, 3))
+    covered = spark.createDataFrame([(i % 2, 1000 - i, p.tolist()) for i, p in enumerate(x)], "cover_index long, point_id long, coords array<double>")
+    found = mapper.cluster_cover(covered, "single_linkage", eps=0.25)
+    assert "FlatMapGroupsInPandas" not in plan(found)  # no task holds a set and its matrix
+    got = {(r.cover_index, r.point_id): r.cluster for r in found.collect()}
+    for c in (0, 1):
+        at = [i for i in range(79, -1, -1) if i % 2 == c]
+        assert [got[c, 1000 - i] for i in at] == mapper.single_linkage(x[at], 0.25).tolist()
+
+
+def test_edges_of_many_triangles(spark):
+    """A complete graph of 5.4 million triangles, which raised BudgetError; and small graphs as by reduction."""
+    import numpy as np
+
+    from filtra.functions import reduce as R
+    from filtra.operators import persistence
+
+    x = np.random.default_rng(7).random((320, 2))
+    p = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "cloud_id string, point_id long, coords array<double>")
+    got = persistence.persistence_of_edges(distance.pairwise(p), 1, p)
+    assert rows(got) == rows(persistence.persistence(p, 1))
+    few = distance.pairwise(p).where("dist <= 0.08 AND src < 60 AND dst < 60").localCheckpoint()
+    edges = {(r.src, r.dst): r.dist for r in few.collect()}
+    ids = {v: i for i, v in enumerate(sorted({v for e in edges for v in e}))}
+    want = R.reduce_complex(R.cliques(len(ids), {(ids[a], ids[b]): d for (a, b), d in edges.items()}, 2), 1)
+    assert sorted((r.dim, r.birth, r.death) for r in persistence.persistence_of_edges(few, 1).collect()) == sorted(map(tuple, want))
+
+
+def test_boundary_by_cells(cloud, simplices, small_blocks):
+    from filtra.operators import complexes
+
+    got = complexes.rips_boundary(cloud, RADIUS)
+    assert "Join [cloud_id" not in plan(got).split("FlatMapGroupsInArrow")[0]
+    assert rows(got.select("cloud_id", "dim", "row", "col", "sign")) == rows(complexes.boundary(simplices))
